@@ -1,9 +1,10 @@
 """A content-addressed WARC archive.
 
 archive() parts raw records into `heads` (each record's exact header block, its payload's digest) and `payloads` (each
-distinct payload once, by SHA-256). Equal digests are verified: payloads that share one must be equal byte for byte.
-reconstruct() joins them to the original bytes. A payload crosses the network once: the grouping by digest and the
-joining by digest use the same partitioning.
+distinct payload once, by SHA-256). Equal digests are verified: payloads that share one must have one length and one further,
+independent hash, the stored payload must hash to its digest, and a rebuilt record must hash to what the original record did.
+reconstruct() joins them to the original bytes. A payload crosses the network once: the grouping by digest and the joining by
+digest use the same partitioning.
 """
 
 from __future__ import annotations
@@ -48,13 +49,14 @@ def split(raw: DataFrame) -> DataFrame:
 def archive(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """heads (page_id, head, tail, digest, record_digest), payloads (digest, payload, copies, verified).
 
-    raw has page_id and raw (binary); other columns are ignored. A null raw is left out. Equal records stay as many heads with one payload. verified: all payloads of the digest are equal and hash to it.
+    raw has page_id and raw (binary); other columns are ignored. A null raw is left out. Equal records stay as many heads with one payload. verified: the stored payload hashes to the digest and all payloads of the digest agree in length and the second hash.
     """
     whole = raw.where("raw is not null")
     parts = split(whole).withColumn("digest", F.sha2("payload", 256))
     heads = parts.select("page_id", "head", "tail", "digest", F.sha2(F.concat("head", "payload", "tail"), 256).alias("record_digest"))
-    payloads = parts.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("__other"), F.count(F.lit(1)).alias("copies"))
-    payloads = payloads.select("digest", "payload", "copies", ((F.col("payload") == F.col("__other")) & (F.sha2("payload", 256) == F.col("digest"))).alias("verified"))
+    own = F.struct(F.octet_length("payload"), F.xxhash64("payload"))
+    payloads = parts.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(own).alias("__low"), F.max(own).alias("__high"), F.count(F.lit(1)).alias("copies"))
+    payloads = payloads.select("digest", "payload", "copies", ((F.col("__low") == F.col("__high")) & (F.sha2("payload", 256) == F.col("digest"))).alias("verified"))
     return heads, payloads
 
 
