@@ -3,7 +3,9 @@
 An item's features are its word bigrams, weighted by inverse item frequency; a window has as many words as the item. Its
 similarity is the weighted Jaccard of the two bigram multisets. The steps:
 1. Windows that can't reach T fall out exactly: a window's bigrams that stand in the benchmark at all must weigh at least T
-   times what the lightest item of that size weighs (a running sum and one subtraction for each size).
+   times what the lightest item of that size weighs. A running sum tells it, for classes of sizes first (the largest window of
+   the class against the least threshold), then for the sizes of what is left. In a run of one repeated word only the first
+   bigram counts (unless an item has such a run); a window may start inside the run, so thresholds give way by that bigram's weight.
 2. The others get a SimHash of BITS bits. Items' fingerprints are indexed by BLOCKS blocks; fingerprints within RADIUS
    agree in some block up to RADIUS // BLOCKS bits, and all such block values are in the index, so every item within RADIUS is
    found.
@@ -46,10 +48,11 @@ def packed(sums: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """weights: of the benchmark's bigrams, by ascending hash; by_size: items of each number of words; blocks: (size, block, value) -> items."""
+    """weights: of the benchmark's bigrams, by ascending hash; twice: which of them an item has twice; least: the lightest item of each number of words; blocks: (size, block, value) -> items."""
 
     keys: np.ndarray
     weights: np.ndarray
+    twice: np.ndarray
     items: list[tuple[int, int, dict[int, int], float, int]] = field(default_factory=list)  # id, words, bigram counts, weight, fingerprint
     least: dict[int, float] = field(default_factory=dict)
     blocks: dict[tuple[int, int, int], list[int]] = field(default_factory=dict)
@@ -57,7 +60,7 @@ class Index:
 
 def _bigrams(texts: pa.Array):
     """(row, words, bigram hashes) of every row; a row of one word has that word as its only feature, and none if it has no word."""
-    for i, j, buf, offs in tk.chunked(tk.lowered(texts)):
+    for i, j, buf, offs in tk.lower_chunks(texts):
         _, _, first, h = tk.tokens(buf, offs)
         g = tk.Grams(h)
         two, one = g.of(2), g.of(1)
@@ -73,7 +76,8 @@ def build(items: list[tuple[int, str]], df: Counter | None = None, total: int |
     total = total if total is not None else len(got)
     keys = np.unique(np.concatenate([f for *_, f in got])) if got else np.zeros(0, tk.U64)
     w = np.array([math.log(1 + total / df[x]) for x in keys.tolist()], np.float64)
-    ix = Index(keys, w)
+    repeated = [x for *_, f in got for x, n in Counter(f.tolist()).items() if n > 1]
+    ix = Index(keys, w, np.isin(keys, np.array(repeated, tk.U64)))
     for item, n, f in got:
         fw = w[np.searchsorted(keys, f)]
         fp = int(packed((signs(f) * fw[:, None].astype(np.float32)).sum(0, keepdims=True))[0])
@@ -96,6 +100,17 @@ def similarity(window: Counter, w: dict[int, float] | None, item: dict[int, int]
     return lo / hi if hi else 0.0
 
 
+def size_classes(ix: Index, t: float) -> list[tuple[int, float, list[int]]]:
+    """(largest size, least threshold, sizes) of classes of similar sizes from two words on."""
+    out: list[list[int]] = []
+    for n in sorted(x for x in ix.least if x > 1):
+        if out and n <= 1.3 * out[-1][0]:
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return [(c[-1], min(t * ix.least[n] for n in c), c) for c in out]
+
+
 def other_weight(ix: Index) -> float:
     """Weight of a bigram that no item has: the largest, as of one that a single item has."""
     return float(ix.weights.max()) if len(ix.weights) else 1.0
@@ -106,12 +121,13 @@ def scan(texts: pa.Array, ix: Index, t: float = T, radius: int = RADIUS):
     if not ix.items:
         return
     sizes = sorted(ix.least)
+    classes = size_classes(ix, t)
     rest = other_weight(ix)
     weight = dict(zip(ix.keys.tolist(), ix.weights.tolist()))
     weight_of = lambda f: weight.get(f, rest)
     table = np.zeros(1 << 16, bool)
     table[(ix.keys >> tk.U64(48)).astype(np.int64)] = True
-    for i, j, buf, offs in tk.chunked(tk.lowered(texts)):
+    for i, j, buf, offs in tk.lower_chunks(texts):
         _, _, first, h = tk.tokens(buf, offs)
         grams = tk.Grams(h)
         two = grams.of(2)
@@ -123,17 +139,24 @@ def scan(texts: pa.Array, ix: Index, t: float = T, radius: int = RADIUS):
         at = np.flatnonzero(table[(two >> tk.U64(48)).astype(np.int64)])
         k = np.minimum(np.searchsorted(ix.keys, two[at]), len(ix.keys) - 1)
         w[at] = np.where(ix.keys[k] == two[at], ix.weights[k], 0.0)
+        once = np.zeros(len(two), bool)
+        once[at] = ~ix.twice[k]
         last = first[1:] - 1
         w[last[(last >= 0) & (last < len(w))]] = 0.0  # bigrams across rows
+        again = np.flatnonzero(two[1:] == two[:-1]) + 1
+        w[again[once[again]]] = 0.0
         c = np.concatenate([[0.0], np.cumsum(w)])
+        c = np.concatenate([c, np.full(sizes[-1], c[-1])])
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n in sizes:
-            if n < 2 or len(h) < n:
+        slack = rest + 1e-6
+        for top, least, members in classes:
+            s = np.flatnonzero(c[top - 1 : top - 1 + len(h)] - c[: len(h)] >= least - slack)
+            if not len(s):
                 continue
-            s = np.flatnonzero(c[n - 1 : n - 1 + len(h) - n + 1] - c[: len(h) - n + 1] >= t * ix.least[n] - 1e-9)
-            if len(s):
-                row = np.searchsorted(first, s, "right") - 1
-                ok = s + n <= first[row + 1]
+            row = np.searchsorted(first, s, "right") - 1
+            end = first[row + 1]
+            for n in members:
+                ok = (c[s + n - 1] - c[s] >= t * ix.least[n] - slack) & (s + n <= end)
                 for r, x in zip(row[ok].tolist(), s[ok].tolist()):
                     found[r].append((n, x))
         for r, windows in found.items():
