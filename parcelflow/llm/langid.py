@@ -63,8 +63,7 @@ def pairs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _chunks(texts: pa.Array):
     """Chunks of at most 256 rows, so that the count matrix stays small."""
-    low = tk.lowered(texts)
-    for i, j, buf, offs in tk.chunked(low, 1 << 19):
+    for i, j, buf, offs in tk.lower_chunks(texts, 1 << 19):
         for a in range(0, j - i, 256):
             b = min(a + 256, j - i)
             yield i + a, i + b, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
@@ -90,6 +89,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
 
     got = rows.mapInArrow(run, "lang string, k bigint, n bigint, docs bigint").groupBy("lang", "k").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toPandas()
     langs = sorted(set(got["lang"]))
+    if not langs:
+        return Model([], np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
     counts = np.full((1 << BITS, max(1, len(langs))), SMOOTHING)
     counts[got["k"].to_numpy(int), [langs.index(x) for x in got["lang"]]] += got["n"].to_numpy(float)
     seen = got.groupby("lang")["docs"].sum()
