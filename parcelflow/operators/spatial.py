@@ -104,7 +104,13 @@ def best_by_ray(matched: DataFrame, assets: DataFrame, angles: list[int] = [a fo
     return rays.join(best, ["id", "angle"], "left")
 
 
-PRIORITY = {"major": 0, "minor": 1}
+def ray_order(name: Column) -> Column:
+    """A sort key of ray names: the faces clockwise from the major axis, corners by number, other rays by angle."""
+    n = F.coalesce(F.regexp_extract(name, r"_([0-9]+)", 1).try_cast("int"), F.lit(0))
+    face = F.lit(None).cast("int")
+    for k, (_, f) in enumerate(RAYS):
+        face = F.when(name.contains(f), k).otherwise(face)
+    return F.struct(F.coalesce(face, F.when(name.contains("corner"), 4).otherwise(5)), F.when(face.isNotNull(), 0).otherwise(n))
 
 
 def capped(best: DataFrame, most: int = 8) -> DataFrame:

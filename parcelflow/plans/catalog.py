@@ -202,7 +202,7 @@ def key2_nth_from_end(spark, d):
     return keyed.nth(fx.assets(spark, d), -3, "k").select("id", "k")
 
 
-@query(_with(AS, "select id, (select max(k) from fx_assets) - k as n, ((select max(k) from fx_assets) - k) // 3 as place from fx_assets where ((select max(k) from fx_assets) - k) % 3 = 0 and k > 1"))
+@query(_with(AS, "select id, (select max(k) from fx_assets) - k as n, ((select max(k) from fx_assets) - k) // 3 as place from fx_assets where ((select max(k) from fx_assets) - k) % 3 = 0 and k > 0"))
 def key3_slice_backwards(spark, d):
     a = fx.assets(spark, d).select("id", F.col("k").alias("ord"), "k")
     s = keyed.sliced(a, None, 0, -3)
@@ -239,7 +239,7 @@ def key7_remove(spark, d):
     return keyed.remove(fx.assets(spark, d), ["a1", "a4", "a9"]).select("id")
 
 
-@query(_with(AS, "select place, id from (values (0, 4), (1, 0), (2, 4)) r(place, num) join fx_assets on k = num + 1"))
+@query(_with(AS, "select place, id from (values (0, 4), (1, 0), (2, 4)) r(place, num) join fx_assets on k = num"))
 def key10_subset(spark, d):
     return keyed.subset(fx.assets(spark, d).select("id", F.col("k").alias("ord")), [4, 0, 4]).select("place", "id")
 
@@ -763,3 +763,92 @@ def str11_split_base(spark, d):
 @query(_with(AT, "select id, acctbal, coalesce(aty, cat, 'Unknown') as asset_type, coalesce(nation_n::varchar, nation_s) as nation, k % 3 as image_count, 'POLYGON ((' || maxx || ' ' || miny || ', ' || maxx || ' ' || maxy || ', ' || minx || ' ' || maxy || ', ' || minx || ' ' || miny || ', ' || maxx || ' ' || miny || '))' as geometry_wkt from fx_attrs"))
 def snk3_to_table(spark, d):
     return C.to_table(fx.attributed(spark, d), ["acctbal", "asset_type", "nation"], {"acctbal": "double"}, F.col("k") % 3)
+
+
+# ---- sources, kernels, models ----
+
+
+def _polygons(spark, d):
+    b = boxes.box()
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ring = F.array(pt(b.minx, b.miny), pt(b.maxx, b.miny), pt(b.maxx, b.maxy), pt(b.minx, b.maxy), pt(b.minx, b.miny))
+    return fx.assets(spark, d).withColumn("rings", F.array(ring))
+
+
+@query(_with(AS, "select id, minx::double as minx, miny::double as miny, maxx::double as maxx, maxy::double as maxy, 'Polygon' as kind, asset_type, acctbal from fx_assets"))
+def src1_src2_snk1_geojson(spark, d):
+    """Assets written as GeoJSON features and read again."""
+    from parcelflow.sources import geojson
+
+    p = _polygons(spark, d)
+    attrs = F.map_from_arrays(F.array(F.lit("type"), F.lit("acctbal")), F.array(F.col("asset_type").cast("variant"), F.col("acctbal").cast("variant")))
+    a = p.select("id", F.col("k").alias("ord"), F.struct(F.lit("Polygon").alias("type"), F.array("rings").alias("parts")).alias("geom"), attrs.alias("attrs"))
+    text = geojson.features(a)
+    back = geojson._assets(text.select("ord", F.try_parse_json("feature").alias("f")), None, False)
+    return back.select("id", *boxes.Box._fields, F.col("geom.type").alias("kind"), A.asset_type(F.col("attrs")).alias("asset_type"), F.try_variant_get(A.value(F.col("attrs"), "acctbal"), "$", "double").alias("acctbal"))
+
+
+@query(_with(AS, "select id, ((maxx - minx) * (maxy - miny))::double as area, (2 * (maxx - minx + maxy - miny))::double as perimeter, (minx + maxx) / 2.0::double as cx, (miny + maxy) / 2.0::double as cy from fx_assets"))
+def geo13_gm2_measure_polygons(spark, d):
+    from parcelflow.operators import footprints
+
+    m = footprints.measure(_polygons(spark, d))
+    return m.select("id", *(F.round(c, 6).alias(c) for c in ("area", "perimeter", "cx", "cy")))
+
+
+@query(_with(AS, f"select id from fx_assets where {_BOX_SQL['within']}"))
+def flt2_gm8_polygons_within(spark, d):
+    from parcelflow.operators import footprints
+
+    return footprints.filter_by_polygon(_polygons(spark, d).select("id", "rings"), [(_X0, _Y0), (_X1, _Y0), (_X1, _Y1), (_X0, _Y1)], "within").select("id")
+
+
+@query(_with(AS, "select a.k as a, b.k as b from fx_assets a join fx_assets b on a.k < b.k and a.minx < b.maxx and a.maxx > b.minx and a.miny < b.maxy and a.maxy > b.miny where (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) > 0.1 * least((a.maxx - a.minx) * (a.maxy - a.miny), (b.maxx - b.minx) * (b.maxy - b.miny))"))
+def set4_agg7_polygon_overlaps(spark, d):
+    from parcelflow.operators import footprints
+
+    return footprints.overlap_edges(_polygons(spark, d).select("k", "rings"), "k", 300, 0.1)
+
+
+@query("with m as (select c_custkey as id, c_custkey % 5 + 1 as n from customer) select id, n as parts, n * 4.0::double as area from m")
+def gm17_mask_polygons(spark, d):
+    """Masks of n squares of two by two pixels, vectorised."""
+    from parcelflow.kernels import polygon as P
+    from parcelflow.operators import footprints
+
+    n = F.col("c_custkey") % 5 + 1
+    row = F.concat(F.repeat(F.lit("010100"), n.cast("int")), F.repeat(F.lit("000000"), (5 - n).cast("int")))
+    m = fx.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(3).alias("h"), F.lit(15).alias("w"), F.unhex(F.concat(row, row, F.repeat(F.lit("00"), 15))).alias("mask"), *(F.lit(v).alias(k) for k, v in (("x0", 0.0), ("y0", 0.0), ("sx", 1.0), ("sy", 1.0))))
+    parts = footprints.mask_polygons(m)
+
+    def areas(it):
+        for pdf in it:
+            yield pdf.assign(area=[P.area(footprints.region(r)) for r in pdf["rings"]])[["id", "area"]]
+
+    return parts.mapInPandas(areas, "id bigint, area double").groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.sum("area").alias("area"))
+
+
+@query(_with(AS, "select id, case when k % 3 > 0 then (k % 3)::varchar end as seen, case when k % 3 > 0 then 'stub' end as model from fx_assets"))
+def udf3_udf8_str2_analyse(spark, d):
+    """A model's answers parsed into prefixed attributes; assets without images stay as they are."""
+    from parcelflow.models import base, steps
+
+    a = fx.attributed(spark, d)
+    images = fx.assets(spark, d).where("k % 3 > 0").select(F.col("id").alias("asset_id"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k") % 3)).alias("ord")).withColumn("path", F.concat("asset_id", F.lit("/"), F.col("ord").cast("string")))
+    out = steps.analyse(a.select("id", "ord", "attrs"), images, lambda: base.StubBackend(lambda paths, prompt: f"Seen: {len(paths)}"), "How many?", prefix="m")
+    get = lambda k: F.try_variant_get(A.value(F.col("attrs"), k), "$", "string")
+    return out.select("id", get("m_seen").alias("seen"), get("ai_model_used").alias("model"))
+
+
+@query(_with(AT, "select id, 'parcel' as t from fx_attrs where k % 13 <> 0"))
+def udf1_udf16_srt2_pipeline(spark, d):
+    """Steps folded in the order of their stages."""
+    from parcelflow.plans.pipeline import Pipeline
+
+    def type_exporter(df):
+        return df.select("id", A.asset_type(F.col("attrs")).alias("t"))
+
+    def type_predictor(df):
+        return df.withColumn("attrs", A.with_type(F.col("attrs"), "parcel"))
+
+    return Pipeline().add(type_exporter).add(type_predictor).add(A.filter_empty, stage=1).run(fx.attributed(spark, d))
