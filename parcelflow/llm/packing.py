@@ -50,48 +50,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
         left, rank = histogram[length], 0
         while left:
             at = bisect.bisect_left(rooms, length)
+            room = rooms[at] if at < len(rooms) else capacity
+            each = room // length  # a bin that took a piece is the fullest that fits until it takes no more
+            use = -(-left // each)
             if at < len(rooms):
-                room = rooms[at]
                 run = open_bins[room][-1]
-                n = min(left, run[1])
-                first = run[0] + run[1] - n
-                run[1] -= n
+                use = min(use, run[1])
+                first = run[0] + run[1] - use
+                run[1] -= use
                 if not run[1]:
                     open_bins[room].pop()
                     if not open_bins[room]:
                         del open_bins[room], rooms[at]
-                out.append((length, rank, n, first, capacity - room))
-                put(room - length, first, n)
             else:
-                each = capacity // length  # new bins: the first piece opens one, the next fill it while they fit
-                n = -(-left // each)
-                full, rest = divmod(left, each)
-                for k in range(each):
-                    m = full + (k < rest)
-                    if m:
-                        out.append((length, rank, m, bins, k * length))
-                        rank += m
-                put(capacity - each * length, bins, full)
-                if rest:
-                    put(capacity - rest * length, bins + full, 1)
-                    out[-min(each, left) :] = _as_filled(length, left, each, full, rest, bins, out[-min(each, left)][1])
-                bins += n
-                left, n = 0, 0
-                continue
-            rank += n
-            left -= n
-    return out
-
-
-def _as_filled(length: int, left: int, each: int, full: int, rest: int, bins: int, rank: int) -> list[Run]:
-    """Runs that fill `full` new bins with `each` pieces and one more with the rest."""
-    out: list[Run] = []
-    for k in range(each if full else 0):
-        out.append((length, rank, full, bins, k * length))
-        rank += full
-    for k in range(rest):
-        out.append((length, rank, 1, bins + full, k * length))
-        rank += 1
+                first, bins = bins, bins + use
+            full, rest = divmod(min(left, use * each), each)
+            for k in range(each):
+                for start, n in ((first, full), (first + full, int(k < rest))):
+                    if n:
+                        out.append((length, rank, n, start, capacity - room + k * length))
+                        rank += n
+            if full:
+                put(room - each * length, first, full)
+            if rest:
+                put(room - rest * length, first + full, 1)
+            left -= full * each + rest
     return out
 
 
