@@ -237,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, t: float = T, radius: in
     """SCHEMA: the best window of each row of docs and item with similarity t or more; start and end in words. Null and empty texts have none; repeated rows are reported as often; null ids stay null; an empty benchmark gives no rows; other columns are ignored."""
     sc = docs.sparkSession.sparkContext
     parts = [sc.broadcast(ix) for ix in indexes(benchmark)]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = tk.texts_of(docs)
 
     def run_with(b):
         def run(batches):
@@ -263,6 +263,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold an item. Rows are filtered where they are read: no join."""
+    tk.small_batches(spark)
     out = docs
     for ix in indexes(tk.table(spark, sf_dir, "benchmark")):
         out = out.mapInArrow(_dropping(spark.sparkContext.broadcast(ix)), docs.schema)

@@ -63,7 +63,7 @@ def pairs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _chunks(texts: pa.Array):
     """Chunks of at most 256 rows, so that the count matrix stays small."""
-    for i, j, buf, offs in tk.lower_chunks(texts, 1 << 19):
+    for i, j, buf, offs in tk.lower_chunks(texts):
         for a in range(0, j - i, 256):
             b = min(a + 256, j - i)
             yield i + a, i + b, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
@@ -71,6 +71,7 @@ def _chunks(texts: pa.Array):
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from at most train_rows rows with text and lang; without any, every prediction is null."""
+    tk.small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("text <> '' and lang is not null")
     ids = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
     ids = docs.sparkSession.createDataFrame(ids.collect(), "__id bigint")  # train_rows bounds its size
@@ -124,7 +125,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *predict(b.column("text"), m.value)], ["doc_id", "n_grams", "lang_pred", "log_prob", "confidence"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return tk.texts_of(docs).mapInArrow(run, SCHEMA)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

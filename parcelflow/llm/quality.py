@@ -90,14 +90,14 @@ def _keep(m: dict[str, np.ndarray]) -> np.ndarray:
 
 def _run(batches):
     for b in batches:
-        for i, j, buf, offs in tk.chunked(tk.plain(b.column("text"))):
+        for i, j, buf, offs in tk.plain_chunks(b.column("text")):
             m = measure(buf, offs)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i)} | m | {"keep": _keep(m)})
 
 
 def repetition(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (SCHEMA), repeated rows and null ids too; null, empty and blank texts have zero counts and aren't kept; other columns are ignored."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run, SCHEMA)
+    return tk.texts_of(docs).mapInArrow(_run, SCHEMA)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

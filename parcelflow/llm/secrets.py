@@ -154,7 +154,7 @@ def find(text: str, marks: list[int] | None = None):
 
 def _marked(texts: pa.Array):
     """(row, text, character places of = and :) of the rows that have any."""
-    for i, _, buf, offs in tk.chunked(tk.plain(texts)):
+    for i, _, buf, offs in tk.plain_chunks(texts):
         at = np.flatnonzero((buf == 61) | (buf == 58))
         if not len(at):
             continue
@@ -183,7 +183,7 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("value", pa.st
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each value in credential context (SCHEMA), start and end in characters of the text. Null and empty texts give none; repeated rows give repeated findings; a null doc_id stays null; other columns are ignored."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run, SCHEMA)
+    return tk.texts_of(docs).mapInArrow(_run, SCHEMA)
 
 
 def masked(text: str, marks: list[int]) -> str:
@@ -197,6 +197,7 @@ def masked(text: str, marks: list[int]) -> str:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by MASK in text, and n_chars, if there, counted anew where text changed; rows and other columns stay as they are."""
+    tk.small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches):

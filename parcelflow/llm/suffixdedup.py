@@ -51,14 +51,14 @@ def anchors(h: np.ndarray, first: np.ndarray, length: int = LENGTH) -> tuple[np.
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return tk.texts_of(docs).where("doc_id is not null and text is not null")
 
 
 def _anchors(length: int):
     def run(batches):
         for b in batches:
             ids = tk.column(b, "doc_id")
-            for i, j, buf, offs in tk.chunked(tk.lowered(b.column("text"))):
+            for i, j, buf, offs in tk.lower_chunks(b.column("text")):
                 _, _, first, h = tk.tokens(buf, offs)
                 at, g = anchors(h, first, length)
                 row = np.searchsorted(first, at, "right") - 1
@@ -106,7 +106,7 @@ def _windows(length: int, held):
             else:
                 lists = b.column("pos")
                 places = lambda r: np.asarray(lists[r].values)
-            for i, j, buf, offs in tk.chunked(tk.lowered(b.column("text"))):
+            for i, j, buf, offs in tk.lower_chunks(b.column("text")):
                 _, _, first, h = tk.tokens(buf, offs)
                 if len(h) < length:
                     continue

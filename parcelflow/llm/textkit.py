@@ -1,7 +1,7 @@
 """Vectorised text kernels shared by the corpus operators.
 
-Texts arrive as Arrow string arrays; everything below works on their UTF-8 buffers with numpy, in chunks of about one
-megabyte, so a task's memory doesn't depend on how many rows an Arrow batch has. A token is a maximal run of ASCII letters,
+Texts arrive as Arrow string arrays; everything below works on their UTF-8 buffers with numpy, in chunks of a quarter
+of a megabyte, so a task's memory doesn't depend on how many rows an Arrow batch has. A token is a maximal run of ASCII letters,
 digits and bytes from 0x80 on, of the lower-cased text. Hashes are 64-bit polynomials over a random byte table, finished
 by a mixer; equal tokens have equal hashes on every machine.
 """
@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Rows of an Arrow batch, where the session has Spark's default.
+BATCH_ROWS = 2_000
 _BASE, _NBASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -86,6 +89,35 @@ def chunked(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def lower_chunks(texts: pa.Array, most: int = CHUNK_BYTES, rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """chunked(lowered(texts)), a few rows at a time, so that no second copy of a whole Arrow batch is made."""
+    return _sliced(texts, lowered, most, rows)
+
+
+def plain_chunks(texts: pa.Array, most: int = CHUNK_BYTES, rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    return _sliced(texts, plain, most, rows)
+
+
+def _sliced(texts, prepare, most: int, rows: int):
+    for a in range(0, len(texts), rows):
+        for i, j, buf, offs in chunked(prepare(texts.slice(a, rows)), most):
+            yield a + i, a + j, buf, offs
+    pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its JVM
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, as whole texts are large rows; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text: what the kernels read of documents, whatever other columns there are."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def spans(buf: np.ndarray, offs: np.ndarray, wanted: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of wanted bytes inside each row, and each row's first run."""
     w = wanted[buf]

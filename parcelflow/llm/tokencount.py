@@ -189,11 +189,11 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         c = Counter(v.value)
         for b in batches:
-            for i, j, buf, offs in tk.chunked(tk.plain(b.column("text"))):
+            for i, j, buf, offs in tk.plain_chunks(b.column("text")):
                 n, t, s = c.of(buf, offs)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i), "n_pretokens": n, "n_tokens": t, "log_prob": np.round(s, 3)})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i), "n_pretokens": n, "n_tokens": t, "log_prob": np.round(s.astype(float), 3)})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return tk.texts_of(docs).mapInArrow(run, SCHEMA)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def look_up(h: np.ndarray, keys: np.ndarray, values: np.ndarray, other: float) -
 
 def _scan(texts: pa.Array, m: Model):
     """(row, tokens, segments as (first token, end token, score)) of every row."""
-    for i, j, buf, offs in tk.chunked(tk.lowered(texts)):
+    for i, j, buf, offs in tk.lower_chunks(texts):
         _, _, first, h = tk.tokens(buf, offs)
         s = look_up(h, m.hashes, m.scores, -m.drift)
         c = np.zeros(len(s) + 1)
@@ -111,7 +111,7 @@ def _scan(texts: pa.Array, m: Model):
 def _sketches(batches):
     for b in batches:
         ids, out = b.column("doc_id"), []
-        for i, j, buf, offs in tk.chunked(tk.lowered(b.column("text"))):
+        for i, j, buf, offs in tk.lower_chunks(b.column("text")):
             _, _, first, h = tk.tokens(buf, offs)
             g = tk.Grams(h).of(5)
             out += [np.unique(g[first[r] : max(first[r], first[r + 1] - 4)])[:SKETCH].view(np.int64) for r in range(j - i)]
@@ -146,7 +146,7 @@ def _counts(batches):
     """Document frequencies and clean occurrences of tokens."""
     for b in batches:
         toxic = tk.column(b, "toxic").astype(bool)
-        for i, j, buf, offs in tk.chunked(tk.lowered(b.column("text"))):
+        for i, j, buf, offs in tk.lower_chunks(b.column("text")):
             _, _, first, h = tk.tokens(buf, offs)
             doc = np.repeat(np.arange(j - i), np.diff(first))
             keys, inv = np.unique(h, return_inverse=True)
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, min_co
     if not ids:
         return nothing
     sample = F.broadcast(spark.createDataFrame(ids, "__id bigint, toxic int"))  # train_rows bounds its size
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = tk.texts_of(docs).where("text is not null")
     rows = tk.checkpointed(rows.join(sample, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic"))
     drop = copies({r[0]: r[1] for r in rows.mapInArrow(_sketches, "doc_id bigint, s array<bigint>").collect()})
     own = F.broadcast(spark.createDataFrame([(i,) for i in sorted(drop)], "doc_id bigint"))
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_verdicts(b.column("text"), m.value)], schema=_arrow())
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return tk.texts_of(docs).mapInArrow(run, SCHEMA)
 
 
 def _arrow() -> pa.Schema:
@@ -249,6 +249,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the toxic ones; every column stays. Filtering happens where the row is read: no join, no shuffle."""
+    tk.small_batches(spark)
     m = spark.sparkContext.broadcast(fit(docs, tk.table(spark, sf_dir, "labels")))
 
     def run(batches):
