@@ -1,11 +1,13 @@
 """Near duplicates: an n-gram Jaccard join over a token-group matrix.
 
 A document is the set of its word N-grams (a shorter one is a single n-gram of all its words). Equal sets are joined first:
-their smallest doc_id stands for them. The others are parted into groups of similar documents, by the smallest hash of the
-set, and a group's column of the matrix is the union of its members' tokens. Two bounds decide which groups a document
+their smallest doc_id stands for them. The others are parted into groups of similar documents: a document joins the leader, the
+smallest id behind a token, with which its sketch shares the most tokens if these are LIKE at least, else it is a group of
+its own. A cluster of near copies makes few groups. A group's column of the
+matrix is the union of its members' tokens. Two bounds decide which groups a document
 opens. (1) Over sketches, the SKETCH smallest tokens of a set in one order for all, a shuffle by token counts the
 tokens that a document shares with a group's union; documents at Jaccard T share each of the smallest tokens of their
-union with chance T, so that fewer than SHARED common ones has a chance below 1e-7. (2) Where document and group meet, the
+union with chance T at least, so the binomial law says how many common ones they have but for a chance of MISS. (2) Where document and group meet, the
 whole set against the whole union: |Q & U| >= T |Q|, else no member can qualify. Members of opened groups are compared
 exactly. Tokens that stand in sketches of over HOT groups come last in the order, so that passages shared by many
 documents don't make candidates as long as a document has others.
@@ -13,26 +15,33 @@ documents don't make candidates as long as a document has others.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parcelflow.llm import textkit as tk
 
 N, T = 3, 0.55
-SKETCH, SHARED, HOT = 32, 3, 256
+#: A pair at T may be missed with that chance; together with SKETCH it says how many tokens of a sketch a document must share with a group.
+SKETCH, MISS = 64, 1e-7
+LIKE, HOT = 6, 256
+#: Of the tokens that a document must share with a group, how many it must share besides its most common ones.
+LEFT = 5
 #: Hot tokens (8 bytes each) that are broadcast at most; beyond it the least hot are left out, which costs time only.
 MOST_HOT = 2_000_000
-#: Ids of documents with candidates (8 bytes each) up to which they are broadcast; beyond it their sets come by a shuffled join.
-BROADCAST_IDS = 4_000_000
+#: Rows (document, group; 33 bytes each) up to which they are broadcast, so that the sets go straight to their groups; beyond it they join the documents by shuffle.
+BROADCAST_IDS = 3_000_000
 #: Members and queries that meet in one task; larger groups are split.
-GROUP = 512
+GROUP = 2048
 
 
 def gram_sets(texts: pa.Array, n: int = N):
     """(row, sorted distinct n-gram hashes) of the rows that have a token."""
-    for i, j, buf, offs in tk.chunked(tk.lowered(texts)):
+    for i, j, buf, offs in tk.lower_chunks(texts):
         _, _, first, h = tk.tokens(buf, offs)
         g = tk.Grams(h)
         grams = g.of(n)
@@ -51,6 +60,16 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
+def needed(t: float, k: int = SKETCH, miss: float = MISS) -> int:
+    """The most tokens that two sketches of k share, but for a chance of `miss`, at Jaccard t."""
+    total, c = 0.0, 0
+    while True:
+        total += math.comb(k, c) * t**c * (1 - t) ** (k - c)
+        if total > miss:
+            return c
+        c += 1
+
+
 def sketch(s: np.ndarray, hot: np.ndarray, k: int = SKETCH) -> np.ndarray:
     """The k smallest tokens of a sorted set, hot ones last."""
     if not len(hot):
@@ -64,13 +83,8 @@ def sketch(s: np.ndarray, hot: np.ndarray, k: int = SKETCH) -> np.ndarray:
     return s[:k]
 
 
-def required(n: int) -> int:
-    """Sketch tokens that a query of n tokens must share with a group."""
-    return SHARED if n > SKETCH else 1
-
-
-def sets_of(docs: DataFrame, hot=None, n: int = N) -> DataFrame:
-    """doc_id, n, sig1, sig2, gid, tokens of rows with an id and a token: the set's size, signature, group and sketch. hot: broadcast hot tokens."""
+def sets_of(docs: DataFrame, hot=None, n: int = N, k: int = SKETCH) -> DataFrame:
+    """doc_id, n, sig1, sig2, gid, tokens of rows with an id and a token: the set's size, signature, smallest hash and sketch of k tokens. hot: broadcast hot tokens."""
 
     def run(batches):
         last = hot.value if hot is not None else np.zeros(0, tk.U64)
@@ -78,7 +92,7 @@ def sets_of(docs: DataFrame, hot=None, n: int = N) -> DataFrame:
             ids, out, tokens = tk.column(b, "doc_id"), [], []
             for r, s in gram_sets(b.column("text"), n):
                 out.append((ids[r], len(s), *_signature(s), int(s[:1].view(np.int64)[0])))
-                tokens.append(sketch(s, last).view(np.int64))
+                tokens.append(sketch(s, last, k).view(np.int64))
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             arrays = [pa.array([x[c] for x in out], pa.int64()) for c in range(5)]
             arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
@@ -88,7 +102,7 @@ def sets_of(docs: DataFrame, hot=None, n: int = N) -> DataFrame:
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return tk.texts_of(docs).where("doc_id is not null and text is not null")
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -114,12 +128,27 @@ def _token_groups(batches):
     yield pa.RecordBatch.from_arrays([keys[count > HOT], count[count > HOT].astype(np.int64)], ["token", "groups"])
 
 
+def _shared_tokens(batches):
+    """Of one partition's tokens: the rows of tokens that two documents have or more, with the smallest of their ids and their number."""
+    t = _whole(batches)
+    if t is None:
+        return
+    token, doc, size = (tk.column(t, x) for x in ("token", "doc_id", "n"))
+    order = np.lexsort((doc, token))
+    token, doc, size = token[order], doc[order], size[order]
+    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    run = np.diff(np.append(edge, len(token)))
+    leader, docs = np.repeat(doc[edge], run), np.repeat(run, run)
+    at = docs > 1
+    yield from pa.table([token[at], doc[at], size[at], leader[at], docs[at]], ["token", "doc_id", "n", "leader", "docs"]).to_batches(1 << 16)
+
+
 def _openings(batches):
     """Of one partition's tokens: (query, group, tokens shared) for groups that have a member of smaller id behind the token."""
     t = _whole(batches)
     if t is None:
         return
-    token, doc, gid, size = (tk.column(t, x) for x in ("token", "doc_id", "gid", "n"))
+    token, doc, gid, size, opens = (tk.column(t, x) for x in ("token", "doc_id", "gid", "n", "opens"))
     order = np.argsort(token, kind="stable")
     token = token[order]
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
@@ -137,10 +166,10 @@ def _openings(batches):
         np.maximum.at(top, inverse, size[at])
         low = size[at].min()
         for k in range(len(groups)):  # at most HOT groups, or tokens that stay in sketches for want of others
-            q = at[(d > least[k]) & (size[at] * T <= top[k])] if top[k] >= low * T else at[:0]
+            q = at[opens[at] & (d > least[k]) & (size[at] * T <= top[k])] if top[k] >= low * T else at[:0]
             qs.append(doc[q]), gs.append(np.full(len(q), groups[k])), ns.append(size[q])
             held += len(q)
-        if held > 2_000_000:
+        if held > 300_000:
             yield _counted(qs, gs, ns)
             qs, gs, ns, held = [], [], [], 0
     if held:
@@ -156,55 +185,91 @@ def _counted(qs, gs, ns) -> pa.RecordBatch:
 
 
 def _compare(t: float):
-    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
+    """Of one group: its members of smaller id for each query that opens it. Rows: doc_id, member, query, set."""
+
+    def run(rows: pa.Table) -> pa.Table:
         out = {"doc_a": [], "doc_b": [], "jaccard": []}
-        if members.num_rows and queries.num_rows:
-            ms = sorted((m["doc_id"], np.frombuffer(m["set"], tk.U64)) for m in members.select(["doc_id", "set"]).to_pylist())
-            union = np.unique(np.concatenate([s for _, s in ms]))
-            owner = np.concatenate([np.full(len(s), k) for k, (_, s) in enumerate(ms)])
-            flat = np.concatenate([s for _, s in ms])
+        each = {(d, bytes(s)): (m, q) for d, m, q, s in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "member", "query", "set")))}
+        ms = sorted((d, s) for (d, s), (m, _) in each.items() if m)
+        if ms:
+            sets = [unpacked(s) for _, s in ms]
+            ids, sizes = np.array([d for d, _ in ms]), np.array(list(map(len, sets)))
+            owner = np.repeat(np.arange(len(ms)), sizes)
+            flat = np.concatenate(sets)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            ids, sizes = np.array([i for i, _ in ms]), np.array([len(s) for _, s in ms])
-            for x in queries.select(["q_doc_id", "q_set"]).to_pylist():
-                s = np.frombuffer(x["q_set"], tk.U64)
-                hit = s[union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s]
-                if len(hit) < t * len(s):  # no member can reach t: the group stays closed
+            for (d, raw), (_, query) in each.items():
+                if not query:
+                    continue
+                s = unpacked(raw)
+                a, b = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+                n = b - a
+                if (n > 0).sum() < t * len(s):  # |Q & U| < t |Q|: no member can reach t, the group stays closed
                     continue
-                a, b = np.searchsorted(flat, hit), np.searchsorted(flat, hit, "right")
-                at = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange((b - a).sum())
+                at = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(ms))
                 j = both / (sizes + len(s) - both)
-                ok = (j >= t) & (ids < x["q_doc_id"])
+                ok = (j >= t) & (ids < d)
                 out["doc_a"] += ids[ok].tolist()
-                out["doc_b"] += [x["q_doc_id"]] * int(ok.sum())
+                out["doc_b"] += [d] * int(ok.sum())
                 out["jaccard"] += j[ok].tolist()
         return pa.table(out, pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())]))
 
     return run
 
 
-def _set_payloads(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, set (its hashes as bytes) of the documents in ids."""
+def packed(s: np.ndarray) -> bytes:
+    """A set's hashes as six bytes each, which is what crosses the network; a million comparisons of sets of a thousand confuse tokens with a chance of 1 in 300."""
+    return np.ascontiguousarray((s >> tk.U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(tk.U64).ravel()
+
+
+PLACED = "gid bigint, m int, k int, doc_id bigint, member boolean, query boolean, set binary"
+
+
+def _placed_sets(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """PLACED: the sets (hashes as bytes) of documents, once for each of their places (doc_id, gid, m, k, member, query)."""
     docs = _input(docs)
-    if ids.count() <= BROADCAST_IDS:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(tk.column(ids.toArrow(), "doc_id")))
+    names = ["gid", "m", "k", "member", "query"]
+    if places.count() <= BROADCAST_IDS:
+        t = places.toArrow()
+        order = np.argsort(tk.column(t, "doc_id"), kind="stable")
+        held = docs.sparkSession.sparkContext.broadcast((tk.column(t, "doc_id")[order], [tk.column(t, c)[order] for c in names]))
     else:
-        wanted = None
-        docs = docs.join(ids, "doc_id", "left_semi")
+        held = None
+        docs = docs.join(places.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("__at")), "doc_id")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+    cols = ["gid", "m", "k", "doc_id", "member", "query", "set"]
 
     def run(batches):
-        done: set[int] = set()
         for b in batches:
-            if wanted is not None:
+            if held is not None:
+                ids, values = held.value
                 i = tk.column(b, "doc_id")
-                w = wanted.value
-                b = b.filter(pa.array(w[np.minimum(np.searchsorted(w, i), len(w) - 1)] == i if len(w) else np.zeros(len(i), bool)))
-            i = tk.column(b, "doc_id")
-            rows = [(int(i[r]), s.tobytes()) for r, s in gram_sets(b.column("text"), n) if i[r] not in done]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["doc_id", "set"])
+                b = b.filter(pa.array(np.searchsorted(ids, i, "right") > np.searchsorted(ids, i)))
+                i = tk.column(b, "doc_id")
+                lo, hi = np.searchsorted(ids, i), np.searchsorted(ids, i, "right")
+            else:
+                i, lists = tk.column(b, "doc_id"), b.column("__at")
+            out, size = [], 0
+            for r, s in gram_sets(b.column("text"), n):
+                raw = packed(s)
+                at = zip(*(v[lo[r] : hi[r]].tolist() for v in values)) if held is not None else ([x[c] for c in names] for x in lists[r].as_py())
+                for g, m, k, member, query in at:
+                    out.append((g, m, k, int(i[r]), member, query, raw))
+                    size += len(raw)
+                if size > tk.CHUNK_BYTES:  # small batches: the receiving side holds one at a time
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], cols)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], cols)
 
-    return docs.mapInArrow(run, "doc_id bigint, set binary")
+    return docs.mapInArrow(run, PLACED)
 
 
 def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
@@ -218,33 +283,40 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    sets = tk.checkpointed(sets_of(docs, None, n))
+    sets = tk.checkpointed(sets_of(docs, None, n, SKETCH // 2))  # half a sketch shows which tokens are hot
     sigs = sets.select("doc_id", "sig1", "sig2")
     reps = sigs.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_a"))
     copies = sigs.join(reps, ["sig1", "sig2"]).where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")).distinct()
     copies = tk.checkpointed(copies)
     others = copies.select(F.col("doc_b").alias("doc_id")).distinct()  # they are stood for by a smaller id
     first = sets.join(others, "doc_id", "left_anti")
-    counts = _exploded(first).repartition("token").mapInArrow(_token_groups, "token bigint, groups bigint")
+    counts = _exploded(first).select("token", "gid").repartition("token").mapInArrow(_token_groups, "token bigint, groups bigint")
     hot = counts.orderBy(F.desc("groups"), "token").limit(MOST_HOT).select("token").toArrow()
     hot = np.sort(tk.unsigned(tk.column(hot, "token")))
-    final = first if not len(hot) else sets_of(docs, sc.broadcast(hot), n).join(others, "doc_id", "left_anti")
-    rows = _exploded(final)
-    opened = rows.repartition("token").mapInArrow(_openings, "q bigint, gid bigint, n bigint, shared bigint").groupBy("q", "gid").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
-    opened = tk.checkpointed(opened.where(F.col("shared") >= F.when(F.col("n") > SKETCH, SHARED).otherwise(1)).select("q", "gid"))
-    groups = first.select("doc_id", "gid").distinct().join(opened.select("gid").distinct(), "gid", "left_semi")
-    groups = tk.checkpointed(groups)
+    final = sets_of(docs, sc.broadcast(hot), n).join(others, "doc_id", "left_anti")
+    shared = _exploded(final).select("token", "doc_id", "n").repartition("token").mapInArrow(_shared_tokens, "token bigint, doc_id bigint, n bigint, leader bigint, docs bigint")
+    shared = tk.checkpointed(shared)  # a document that shares no token is out
+    led = shared.groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("c"))
+    best = F.max_by("leader", F.when((F.col("leader") < F.col("doc_id")) & (F.col("c") >= LIKE), F.struct("c", -F.col("leader"))))
+    gids = led.groupBy("doc_id").agg(F.coalesce(best, F.col("doc_id")).alias("gid"))
+    # a query that shares `need` tokens with a group shares one at least of any but need - 1 of its tokens: its most common ones open nothing
+    need = F.least(F.lit(needed(t)), F.ceil(F.col("n") * t))
+    skip = F.greatest(F.lit(0), need - LEFT)
+    w = Window.partitionBy("doc_id").orderBy(F.desc("docs"), "token")
+    ranked = shared.select("token", "doc_id", "n", (F.row_number().over(w) > skip).alias("opens"))
+    rows = ranked.join(gids, "doc_id").select("token", "doc_id", "gid", "n", "opens")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # what comes out is larger than what goes in, so partitions aren't merged
+    opened = rows.repartition(parts, "token").mapInArrow(_openings, "q bigint, gid bigint, n bigint, shared bigint").groupBy("q", "gid").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
+    opened = tk.checkpointed(opened.where(F.col("shared") >= need - skip).select("q", "gid"))
+    groups = tk.checkpointed(gids.join(opened.select("gid").distinct(), "gid", "left_semi"))
     parts = groups.groupBy("gid").count().select("gid", F.ceil(F.col("count") / GROUP).alias("__m"))
     parts = parts.join(opened.groupBy("gid").count().select("gid", F.ceil(F.col("count") / GROUP).alias("__q")), "gid")
     part = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("bigint")
     upto = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col(k) - 1).cast("bigint")))
-    members = groups.join(parts, "gid").select("doc_id", "gid", part("doc_id", "__m").alias("m"), upto("__q").alias("k"))
-    queries = opened.join(parts, "gid").select(F.col("q").alias("doc_id"), "gid", upto("__m").alias("m"), part("q", "__q").alias("k"))
-    ids = tk.checkpointed(groups.select("doc_id").union(opened.select("q")).distinct())
-    payload = tk.checkpointed(_set_payloads(docs, ids, n))
-    left = members.join(payload, "doc_id").select("gid", "m", "k", "doc_id", "set").groupBy("gid", "m", "k")
-    q = queries.join(payload, "doc_id").select(*(F.col(c).alias(f"q_{c}") for c in ("gid", "m", "k", "doc_id", "set")))
-    found = left.cogroup(q.groupBy("q_gid", "q_m", "q_k")).applyInArrow(_compare(t), "doc_a bigint, doc_b bigint, jaccard double")
+    members = groups.join(parts, "gid").select("doc_id", "gid", part("doc_id", "__m").alias("m"), upto("__q").alias("k"), F.lit(True).alias("member"), F.lit(False).alias("query"))
+    queries = opened.join(parts, "gid").select(F.col("q").alias("doc_id"), "gid", upto("__m").alias("m"), part("q", "__q").alias("k"), F.lit(False).alias("member"), F.lit(True).alias("query"))
+    places = members.union(queries).groupBy("doc_id", "gid", F.col("m").cast("int").alias("m"), F.col("k").cast("int").alias("k")).agg(F.max("member").alias("member"), F.max("query").alias("query"))
+    found = _placed_sets(docs, tk.checkpointed(places), n).groupBy("gid", "m", "k").applyInArrow(_compare(t), "doc_a bigint, doc_b bigint, jaccard double")
     found = found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).where("jaccard < 1")
     return found.select("doc_a", "doc_b", F.round("jaccard", 9).alias("jaccard"), F.lit("near").alias("kind")).unionByName(copies)
 
