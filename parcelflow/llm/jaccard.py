@@ -6,15 +6,22 @@ smallest id behind a token, with which its sketch shares the most tokens if thes
 its own. A cluster of near copies makes few groups. A group's column of the
 matrix is the union of its members' tokens. Two bounds decide which groups a document
 opens. (1) Over sketches, the SKETCH smallest tokens of a set in one order for all, a shuffle by token counts the
-tokens that a document shares with a group's union; documents at Jaccard T share each of the smallest tokens of their
-union with chance T at least, so the binomial law says how many common ones they have but for a chance of MISS. (2) Where document and group meet, the
+tokens that a document shares with a group's union; documents at Jaccard p share each of the smallest tokens of their
+union with chance p at least, so the binomial law says how many common ones they have but for a chance of MISS. (2) Where document and group meet, the
 whole set against the whole union: |Q & U| >= T |Q|, else no member can qualify. Members of opened groups are compared
-exactly. Tokens that stand in sketches of over HOT groups come last in the order, so that passages shared by many
-documents don't make candidates as long as a document has others.
+exactly.
+
+Passages that very many documents share would make candidates of them all. Tokens in samples of over HOT groups are hot, and
+step (1) runs twice. Over sketches of the other, cold tokens: of a pair at T of which one document at least has a share of
+hot tokens up to f, the cold parts have Jaccard (T - f) / (1 - f) at least, and that says how many tokens they share.
+Over sketches of whole sets, for the documents with more hot tokens than hot_share(T): the pairs of which both are such.
+Samples go by another hash than the order of sketches. Otherwise hot tokens would be those early in the order, the cold ones
+early in it would be seldom shared, and the binomial law would not hold.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,6 +36,8 @@ N, T = 3, 0.55
 #: A pair at T may be missed with that chance; together with SKETCH it says how many tokens of a sketch a document must share with a group.
 SKETCH, MISS = 64, 1e-7
 LIKE, HOT = 6, 256
+#: Tokens of a set that are counted to find the hot ones.
+SAMPLE = SKETCH // 2
 #: Of the tokens that a document must share with a group, how many it must share besides its most common ones.
 LEFT = 5
 #: Hot tokens (8 bytes each) that are broadcast at most; beyond it the least hot are left out, which costs time only.
@@ -70,43 +79,83 @@ def needed(t: float, k: int = SKETCH, miss: float = MISS) -> int:
         c += 1
 
 
-def sketch(s: np.ndarray, hot: np.ndarray, k: int = SKETCH) -> np.ndarray:
-    """The k smallest tokens of a sorted set, hot ones last."""
-    if not len(hot):
-        return s[:k]
-    head = s[: 4 * k]
-    for part in (head, s):
-        is_hot = hot[np.minimum(np.searchsorted(hot, part), len(hot) - 1)] == part
-        cold = part[~is_hot]
-        if len(cold) >= k or part is s or len(part) == len(s):
-            return np.concatenate([cold[:k], part[is_hot][: max(0, k - len(cold))]])
-    return s[:k]
+def cold_needed(t: float, percent: int, n: int) -> int:
+    """The most cold tokens that sketches of two sets of Jaccard t share, one of them of n tokens, if up to so many percent of one of them are hot."""
+    f = percent / 100
+    return min(_cold_share(t, percent), math.ceil((t - f) * n - 1e-9))
 
 
-def sets_of(docs: DataFrame, hot=None, n: int = N, k: int = SKETCH) -> DataFrame:
-    """doc_id, n, sig1, sig2, gid, tokens of rows with an id and a token: the set's size, signature, smallest hash and sketch of k tokens. hot: broadcast hot tokens."""
+@functools.cache
+def _cold_share(t: float, percent: int) -> int:
+    return needed((t - percent / 100) / (1 - percent / 100))
+
+
+@functools.cache
+def hot_share(t: float) -> int:
+    """The percentage of hot tokens up to which sketches of cold ones must share LEFT tokens."""
+    return max((p for p in range(int(100 * t)) if _cold_share(t, p) >= LEFT), default=0)
+
+
+def sampled(s: np.ndarray, k: int = SAMPLE) -> tuple[int, np.ndarray]:
+    """The smallest of the tokens' second hashes, and the k tokens with the smallest."""
+    h = tk.mix(s ^ tk.U64(0x9E6C63D0876A9A62))
+    return int(h.min().view(np.int64)), s if len(s) <= k else s[np.argpartition(h, k - 1)[:k]]
+
+
+def sketches(s: np.ndarray, hot: np.ndarray, t: float, k: int = SKETCH):
+    """(whether of the whole set, tokens needed, tokens) of a sorted set's sketches."""
+    is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
+    cold = s[~is_hot]
+    percent = -(-100 * (len(s) - len(cold)) // len(s))
+    if len(cold):
+        yield False, cold_needed(t, min(percent, hot_share(t)), len(s)), cold[:k]
+    if percent > hot_share(t):
+        yield True, cold_needed(t, 0, len(s)), s[:k]
+
+
+def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
+    """doc_id, sig1, sig2, gid, tokens of rows with an id and a token: the set's signature, smallest second hash and sample."""
 
     def run(batches):
-        last = hot.value if hot is not None else np.zeros(0, tk.U64)
         for b in batches:
             ids, out, tokens = tk.column(b, "doc_id"), [], []
             for r, s in gram_sets(b.column("text"), n):
-                out.append((ids[r], len(s), *_signature(s), int(s[:1].view(np.int64)[0])))
-                tokens.append(sketch(s, last, k).view(np.int64))
-            ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            arrays = [pa.array([x[c] for x in out], pa.int64()) for c in range(5)]
-            arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "sig1", "sig2", "gid", "tokens"])
+                gid, sample = sampled(s)
+                out.append((ids[r], *_signature(s), gid))
+                tokens.append(sample.view(np.int64))
+            yield _with_tokens(out, tokens, [("doc_id", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("gid", pa.int64())])
+
+    return _input(docs).mapInArrow(run, "doc_id bigint, sig1 bigint, sig2 bigint, gid bigint, tokens array<bigint>")
+
+
+def sketches_of(docs: DataFrame, hot, n: int = N, t: float = T) -> DataFrame:
+    """doc_id, n, whole, need, tokens: the sketches of rows with an id and a token; n is the set's size. hot: broadcast hot tokens."""
+
+    def run(batches):
+        for b in batches:
+            ids, out, tokens = tk.column(b, "doc_id"), [], []
+            for r, s in gram_sets(b.column("text"), n):
+                for whole, need, sketch in sketches(s, hot.value, t):
+                    out.append((ids[r], len(s), whole, need))
+                    tokens.append(sketch.view(np.int64))
+            yield _with_tokens(out, tokens, [("doc_id", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("need", pa.int32())])
+
+    return _input(docs).mapInArrow(run, "doc_id bigint, n bigint, whole boolean, need int, tokens array<bigint>")
 
-    return _input(docs).mapInArrow(run, "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, gid bigint, tokens array<bigint>")
+
+def _with_tokens(rows: list[tuple], tokens: list[np.ndarray], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+    arrays = [pa.array([x[c] for x in rows], kind) for c, (_, kind) in enumerate(kinds)]
+    arrays.append(pa.ListArray.from_arrays(ends, np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
+    return pa.RecordBatch.from_arrays(arrays, [*(name for name, _ in kinds), "tokens"])
 
 
 def _input(docs: DataFrame) -> DataFrame:
     return tk.texts_of(docs).where("doc_id is not null and text is not null")
 
 
-def _exploded(sets: DataFrame) -> DataFrame:
-    return sets.select("doc_id", "gid", "n", F.explode("tokens").alias("token"))
+def _exploded(sets: DataFrame, *names: str) -> DataFrame:
+    return sets.select(*names, F.explode("tokens").alias("token")).repartition("token")
 
 
 def _whole(batches) -> pa.Table | None:
@@ -114,18 +163,22 @@ def _whole(batches) -> pa.Table | None:
     return pa.Table.from_batches(b) if b else None
 
 
-def _token_groups(batches):
-    """Of one partition's tokens: how many groups each of the more frequent ones is in."""
-    t = _whole(batches)
-    if t is None:
-        return
-    token, gid = tk.column(t, "token"), tk.column(t, "gid")
-    order = np.lexsort((gid, token))
-    token, gid = token[order], gid[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-    keys, count = np.unique(token[new], return_counts=True)
-    yield pa.RecordBatch.from_arrays([keys[count > HOT], count[count > HOT].astype(np.int64)], ["token", "groups"])
+def _token_groups(most: int):
+    """Of one partition's tokens: in how many groups each is that is in over `most`."""
+
+    def run(batches):
+        t = _whole(batches)
+        if t is None:
+            return
+        token, gid = tk.column(t, "token"), tk.column(t, "gid")
+        order = np.lexsort((gid, token))
+        token, gid = token[order], gid[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
+        keys, count = np.unique(token[new], return_counts=True)
+        yield pa.RecordBatch.from_arrays([keys[count > most], count[count > most].astype(np.int64)], ["token", "groups"])
+
+    return run
 
 
 def _shared_tokens(batches):
@@ -133,14 +186,14 @@ def _shared_tokens(batches):
     t = _whole(batches)
     if t is None:
         return
-    token, doc, size = (tk.column(t, x) for x in ("token", "doc_id", "n"))
+    token, doc, size, need = (tk.column(t, x) for x in ("token", "doc_id", "n", "need"))
     order = np.lexsort((doc, token))
-    token, doc, size = token[order], doc[order], size[order]
+    token, doc, size, need = token[order], doc[order], size[order], need[order]
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     run = np.diff(np.append(edge, len(token)))
     leader, docs = np.repeat(doc[edge], run), np.repeat(run, run)
     at = docs > 1
-    yield from pa.table([token[at], doc[at], size[at], leader[at], docs[at]], ["token", "doc_id", "n", "leader", "docs"]).to_batches(1 << 16)
+    yield from pa.table([token[at], doc[at], size[at], need[at], leader[at], docs[at]], ["token", "doc_id", "n", "need", "leader", "docs"]).to_batches(1 << 16)
 
 
 def _openings(batches):
@@ -148,7 +201,7 @@ def _openings(batches):
     t = _whole(batches)
     if t is None:
         return
-    token, doc, gid, size, opens = (tk.column(t, x) for x in ("token", "doc_id", "gid", "n", "opens"))
+    token, doc, gid, size, need, opens = (tk.column(t, x) for x in ("token", "doc_id", "gid", "n", "need", "opens"))
     order = np.argsort(token, kind="stable")
     token = token[order]
     edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
@@ -165,13 +218,13 @@ def _openings(batches):
         top = np.full(len(groups), np.iinfo(np.int64).min)
         np.maximum.at(top, inverse, size[at])
         low = size[at].min()
-        for k in range(len(groups)):  # at most HOT groups, or tokens that stay in sketches for want of others
+        for k in range(len(groups)):  # in sketches of cold tokens about HOT at most
             q = at[opens[at] & (d > least[k]) & (size[at] * T <= top[k])] if top[k] >= low * T else at[:0]
-            qs.append(doc[q]), gs.append(np.full(len(q), groups[k])), ns.append(size[q])
+            qs.append(doc[q]), gs.append(np.full(len(q), groups[k])), ns.append(need[q])
             held += len(q)
-        if held > 300_000:
-            yield _counted(qs, gs, ns)
-            qs, gs, ns, held = [], [], [], 0
+            if held > 300_000:
+                yield _counted(qs, gs, ns)
+                qs, gs, ns, held = [], [], [], 0
     if held:
         yield _counted(qs, gs, ns)
 
@@ -181,7 +234,7 @@ def _counted(qs, gs, ns) -> pa.RecordBatch:
     order = np.lexsort((g, q))
     q, g, n = q[order], g[order], n[order]
     at = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])))
-    return pa.RecordBatch.from_arrays([q[at], g[at], n[at], np.diff(np.append(at, len(q)))], ["q", "gid", "n", "shared"])
+    return pa.RecordBatch.from_arrays([q[at], g[at], n[at], np.diff(np.append(at, len(q)))], ["q", "gid", "need", "shared"])
 
 
 def _compare(t: float):
@@ -283,31 +336,42 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    sets = tk.checkpointed(sets_of(docs, None, n, SKETCH // 2))  # half a sketch shows which tokens are hot
+    sets = tk.checkpointed(sets_of(docs, n))
     sigs = sets.select("doc_id", "sig1", "sig2")
     reps = sigs.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_a"))
     copies = sigs.join(reps, ["sig1", "sig2"]).where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")).distinct()
     copies = tk.checkpointed(copies)
     others = copies.select(F.col("doc_b").alias("doc_id")).distinct()  # they are stood for by a smaller id
     first = sets.join(others, "doc_id", "left_anti")
-    counts = _exploded(first).select("token", "gid").repartition("token").mapInArrow(_token_groups, "token bigint, groups bigint")
+    counts = _exploded(first, "gid").mapInArrow(_token_groups(HOT), "token bigint, groups bigint")
     hot = counts.orderBy(F.desc("groups"), "token").limit(MOST_HOT).select("token").toArrow()
     hot = np.sort(tk.unsigned(tk.column(hot, "token")))
-    final = sets_of(docs, sc.broadcast(hot), n).join(others, "doc_id", "left_anti")
-    shared = _exploded(final).select("token", "doc_id", "n").repartition("token").mapInArrow(_shared_tokens, "token bigint, doc_id bigint, n bigint, leader bigint, docs bigint")
+    final = tk.checkpointed(sketches_of(docs, sc.broadcast(hot), n, t).join(others, "doc_id", "left_anti"))
+    places = _places(final.where("not whole"))
+    whole = final.where("whole")
+    if not whole.isEmpty():
+        places = places.union(_places(whole).withColumn("m", -1 - F.col("m")))  # groups of their own
+    found = _placed_sets(docs, tk.checkpointed(places), n).groupBy("gid", "m", "k").applyInArrow(_compare(t), "doc_a bigint, doc_b bigint, jaccard double")
+    found = found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).where("jaccard < 1")
+    return found.select("doc_a", "doc_b", F.round("jaccard", 9).alias("jaccard"), F.lit("near").alias("kind")).unionByName(copies)
+
+
+def _places(sketched: DataFrame) -> DataFrame:
+    """doc_id, gid, m, k, member, query: where documents must meet, by sketches that share as many tokens as needed."""
+    spark = sketched.sparkSession
+    shared = _exploded(sketched, "doc_id", "n", "need").mapInArrow(_shared_tokens, "token bigint, doc_id bigint, n bigint, need int, leader bigint, docs bigint")
     shared = tk.checkpointed(shared)  # a document that shares no token is out
     led = shared.groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("c"))
     best = F.max_by("leader", F.when((F.col("leader") < F.col("doc_id")) & (F.col("c") >= LIKE), F.struct("c", -F.col("leader"))))
     gids = led.groupBy("doc_id").agg(F.coalesce(best, F.col("doc_id")).alias("gid"))
     # a query that shares `need` tokens with a group shares one at least of any but need - 1 of its tokens: its most common ones open nothing
-    need = F.least(F.lit(needed(t)), F.ceil(F.col("n") * t))
-    skip = F.greatest(F.lit(0), need - LEFT)
+    skip = F.greatest(F.lit(0), F.col("need") - LEFT)
     w = Window.partitionBy("doc_id").orderBy(F.desc("docs"), "token")
-    ranked = shared.select("token", "doc_id", "n", (F.row_number().over(w) > skip).alias("opens"))
-    rows = ranked.join(gids, "doc_id").select("token", "doc_id", "gid", "n", "opens")
+    ranked = shared.select("token", "doc_id", "n", "need", (F.row_number().over(w) > skip).alias("opens"))
+    rows = ranked.join(gids, "doc_id").select("token", "doc_id", "gid", "n", "need", "opens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # what comes out is larger than what goes in, so partitions aren't merged
-    opened = rows.repartition(parts, "token").mapInArrow(_openings, "q bigint, gid bigint, n bigint, shared bigint").groupBy("q", "gid").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
-    opened = tk.checkpointed(opened.where(F.col("shared") >= need - skip).select("q", "gid"))
+    opened = rows.repartition(parts, "token").mapInArrow(_openings, "q bigint, gid bigint, need int, shared bigint").groupBy("q", "gid").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+    opened = tk.checkpointed(opened.where(F.col("shared") >= F.col("need") - skip).select("q", "gid"))
     groups = tk.checkpointed(gids.join(opened.select("gid").distinct(), "gid", "left_semi"))
     parts = groups.groupBy("gid").count().select("gid", F.ceil(F.col("count") / GROUP).alias("__m"))
     parts = parts.join(opened.groupBy("gid").count().select("gid", F.ceil(F.col("count") / GROUP).alias("__q")), "gid")
@@ -315,10 +379,7 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     upto = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col(k) - 1).cast("bigint")))
     members = groups.join(parts, "gid").select("doc_id", "gid", part("doc_id", "__m").alias("m"), upto("__q").alias("k"), F.lit(True).alias("member"), F.lit(False).alias("query"))
     queries = opened.join(parts, "gid").select(F.col("q").alias("doc_id"), "gid", upto("__m").alias("m"), part("q", "__q").alias("k"), F.lit(False).alias("member"), F.lit(True).alias("query"))
-    places = members.union(queries).groupBy("doc_id", "gid", F.col("m").cast("int").alias("m"), F.col("k").cast("int").alias("k")).agg(F.max("member").alias("member"), F.max("query").alias("query"))
-    found = _placed_sets(docs, tk.checkpointed(places), n).groupBy("gid", "m", "k").applyInArrow(_compare(t), "doc_a bigint, doc_b bigint, jaccard double")
-    found = found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).where("jaccard < 1")
-    return found.select("doc_a", "doc_b", F.round("jaccard", 9).alias("jaccard"), F.lit("near").alias("kind")).unionByName(copies)
+    return members.union(queries).groupBy("doc_id", "gid", F.col("m").cast("int").alias("m"), F.col("k").cast("int").alias("k")).agg(F.max("member").alias("member"), F.max("query").alias("query"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from parcelflow.llm import jaccard as J
@@ -99,3 +100,43 @@ def test_components(spark, seed):
         root[y] = x
     got = {x["doc_id"]: x["root"] for x in J.components(spark.createDataFrame(edges, "doc_a bigint, doc_b bigint")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_common_part_of_widespread_passages(spark):
+    r = random.Random(11)
+    passages = [[f"p{k}x{j}" for j in range(20)] for k in range(60)]
+    smallest = [int(s[0]) for _, s in J.gram_sets(pa.array([" ".join(p) for p in passages]))]
+    passages = [passages[k] for k in sorted(range(60), key=lambda k: -smallest[k])[:10]]  # carriers' own tokens come first
+    rows = []
+    for k in range(6):  # 180 common trigrams, and 66 of each document's own
+        order = r.sample(range(10), 10)
+        rows.append((k, " ".join([f"a{k}x{j}" for j in range(48)] + [w for p in order for w in passages[p]])))
+    rows += [(100 + k, " ".join(passages[k % 10] + [f"c{k}x{j}" for j in range(14)])) for k in range(7000)]
+    few = {(a, b) for a in range(6) for b in range(a + 1, 6)}
+    want = {x for x in brute(rows[:6])}
+    assert {x[:2] for x in want} == few
+    assert pairs(spark.createDataFrame(rows, "doc_id bigint, text string")) == want  # two carriers of a passage are at 0.39, a carrier and a long one under 0.1
+
+
+def test_hot_tokens_are_independent_of_the_order_of_sketches():
+    import numpy as np
+
+    s = np.unique(tk.mix(np.arange(1, 20_001, dtype=tk.U64)))
+    _, sample = J.sampled(s, 2000)
+    rank = np.searchsorted(s, np.sort(sample)) / len(s)
+    assert len(np.unique(sample)) == 2000 and abs(rank.mean() - 0.5) < 0.03
+
+
+def test_cold_tokens_needed():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    limit = J.hot_share(J.T)
+    for _ in range(300):
+        both, a, b = (np.unique(r.integers(0, 1 << 63, k).astype(tk.U64)) for k in (int(r.integers(30, 400)), int(r.integers(0, 80)), int(r.integers(0, 80))))
+        hot = np.sort(r.choice(both, int(r.integers(0, len(both) + 1)), replace=False))
+        x, y = np.union1d(both, a), np.union1d(both, b)
+        if len(both) / len(np.union1d(x, y)) >= J.T:
+            u, v = ({w: (need, set(t.tolist())) for w, need, t in J.sketches(s, hot, J.T)} for s in (x, y))
+            assert any(len(u[w][1] & v[w][1]) >= max(u[w][0], v[w][0]) for w in u.keys() & v.keys())
+    assert 0 < limit < 55 and J.cold_needed(J.T, limit, 10_000) >= J.LEFT
