@@ -1,6 +1,7 @@
 """Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks, exact verification.
 
-An item's features are its word bigrams, weighted by inverse item frequency; a window has as many words as the item. Its
+An item's features are its word bigrams, weighted by inverse item frequency; a window has as many words as the item, and a row
+of fewer words is one window as a whole. Its
 similarity is the weighted Jaccard of the two bigram multisets. The steps:
 1. Windows that can't reach T fall out exactly: a window's bigrams that stand in the benchmark at all must weigh at least T
    times what the lightest item of that size weighs. A running sum tells it, for classes of sizes first (the largest window of
@@ -147,8 +148,10 @@ def scan(texts: pa.Array, ix: Index, t: float = T, radius: int = RADIUS):
         w[again[once[again]]] = 0.0
         c = np.concatenate([[0.0], np.cumsum(w)])
         c = np.concatenate([c, np.full(sizes[-1], c[-1])])
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         slack = rest + 1e-6
+        for r, x, e, n in _short(first, c, ix, t, slack):
+            found[r].append((n, x, e))
         for top, least, members in classes:
             s = np.flatnonzero(c[top - 1 : top - 1 + len(h)] - c[: len(h)] >= least - slack)
             if not len(s):
@@ -158,11 +161,10 @@ def scan(texts: pa.Array, ix: Index, t: float = T, radius: int = RADIUS):
             for n in members:
                 ok = (c[s + n - 1] - c[s] >= t * ix.least[n] - slack) & (s + n <= end)
                 for r, x in zip(row[ok].tolist(), s[ok].tolist()):
-                    found[r].append((n, x))
+                    found[r].append((n, x, x + n))
         for r, windows in found.items():
             best: dict[int, tuple[float, int, int, int]] = {}
-            lo, hi = min(x for _, x in windows), max(x + n for n, x in windows)
-            for n, x, fp in _fingerprints(windows, two, lo, hi, weight_of):
+            for n, x, e, fp in _fingerprints(windows, two, weight_of):
                 width = BITS // BLOCKS
                 near = {k for b in range(BLOCKS) for k in ix.blocks.get((n, b, (fp >> (b * width)) & ((1 << width) - 1)), ())}
                 window = None
@@ -171,12 +173,26 @@ def scan(texts: pa.Array, ix: Index, t: float = T, radius: int = RADIUS):
                     d = (fp ^ own).bit_count()
                     if d > radius:
                         continue
-                    window = window or Counter(two[x : x + n - 1].tolist())
+                    window = window or Counter(two[x : e - 1].tolist())
                     sim = similarity(window, None, counts, weight_of)
                     if sim >= t - 1e-12 and (-sim, x) < (-best[item][0], best[item][1]) if item in best else sim >= t - 1e-12:
-                        best[item] = (sim, x, n, d)
-            for item, (sim, x, n, d) in sorted(best.items()):
-                yield i + r, item, x - int(first[r]), x - int(first[r]) + n, round(sim, 6), d
+                        best[item] = (sim, x, e, d)
+            for item, (sim, x, e, d) in sorted(best.items()):
+                yield i + r, item, x - int(first[r]), e - int(first[r]), round(sim, 6), d
+
+
+def _short(first: np.ndarray, c: np.ndarray, ix: Index, t: float, slack: float):
+    """(row, start, end, item size) of rows with fewer words than items of that size, and weight enough. c: running sum of weights."""
+    sizes = np.array(sorted(ix.least))
+    least = t * np.array([ix.least[n] for n in sizes.tolist()]) - slack
+    words = np.diff(first)
+    longer = np.searchsorted(sizes, words, "right")
+    lowest = np.append(np.minimum.accumulate(least[::-1])[::-1], math.inf)
+    weight = c[np.maximum(first[1:] - 1, first[:-1])] - c[first[:-1]]
+    for r in np.flatnonzero((words > 1) & (weight >= lowest[longer])).tolist():
+        for k in range(int(longer[r]), len(sizes)):
+            if weight[r] >= least[k]:
+                yield r, int(first[r]), int(first[r + 1]), int(sizes[k])
 
 
 def _single(i: int, first: np.ndarray, one: np.ndarray, ix: Index):
@@ -189,24 +205,23 @@ def _single(i: int, first: np.ndarray, one: np.ndarray, ix: Index):
                 yield i + r, item, f.index(g), f.index(g) + 1, 1.0, 0
 
 
-def _fingerprints(windows: list[tuple[int, int]], two: np.ndarray, lo: int, hi: int, weight_of):
-    """(size, start, fingerprint) of windows; runs that are close share one running sum of signed weights."""
+def _fingerprints(windows: list[tuple[int, int, int]], two: np.ndarray, weight_of):
+    """(size, start, end, fingerprint) of windows (item size, start, end); runs that are close share one running sum of signed weights."""
     windows = sorted(windows, key=lambda x: x[1])
     a = 0
     while a < len(windows):
-        b, end = a, windows[a][1] + windows[a][0]
+        b, end = a, windows[a][2]
         while b < len(windows) and windows[b][1] <= end:
-            end = max(end, windows[b][1] + windows[b][0])
+            end = max(end, windows[b][2])
             b += 1
         s0 = windows[a][1]
         f = two[s0 : end - 1]
         wt = np.array([weight_of(x) for x in f.tolist()], np.float64)
         c = np.zeros((len(f) + 1, BITS))
         np.cumsum(signs(f) * wt[:, None], axis=0, out=c[1:])
-        n = np.array([x[0] for x in windows[a:b]])
-        s = np.array([x[1] for x in windows[a:b]]) - s0
-        for (size, start), fp in zip(windows[a:b], packed(c[s + n - 1] - c[s] - 1e-9).tolist()):
-            yield size, start, fp
+        s, e = np.array([x[1] for x in windows[a:b]]) - s0, np.array([x[2] for x in windows[a:b]]) - s0
+        for w, fp in zip(windows[a:b], packed(c[e - 1] - c[s] - 1e-9).tolist()):
+            yield *w, fp
         a = b
 
 
@@ -234,7 +249,7 @@ def indexes(benchmark: DataFrame, most_words: int = MOST_WORDS) -> list[Index]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, t: float = T, radius: int = RADIUS) -> DataFrame:
-    """SCHEMA: the best window of each row of docs and item with similarity t or more; start and end in words. Null and empty texts have none; repeated rows are reported as often; null ids stay null; an empty benchmark gives no rows; other columns are ignored."""
+    """SCHEMA: the best window of each row of docs and item with similarity t or more; start and end in words, all of a row that has fewer than the item. Null and empty texts have none; repeated rows are reported as often; null ids stay null; an empty benchmark gives no rows; other columns are ignored."""
     sc = docs.sparkSession.sparkContext
     parts = [sc.broadcast(ix) for ix in indexes(benchmark)]
     rows = tk.texts_of(docs)

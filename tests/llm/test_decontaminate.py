@@ -94,3 +94,27 @@ def test_odd_rows_and_parts(spark, odd, empty):
     assert sum(len(p.items) for p in many) == 3 and len(many) > 1
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.contaminated(odd, none).count() == 0 and D.contaminated(empty, bench).count() == 0
+
+
+def test_rows_shorter_than_the_item(spark):
+    r = random.Random(21)
+    items = [(k, " ".join(f"w{r.randrange(400)}" for _ in range(r.randrange(15, 60)))) for k in range(30)]
+    ix = D.build(items)
+    weight = dict(zip(ix.keys.tolist(), ix.weights.tolist()))
+    feats = lambda t: next(f for _, _, f in D._bigrams(pa.array([t])))
+    docs = []
+    for _, t in items:
+        w = t.split()
+        docs += [" ".join(w[:-1]), " ".join(w[2:]), " ".join(w[: round(0.85 * len(w))]), " ".join(w[: len(w) // 2]), w[0], ""]
+    want = {}
+    for row, t in enumerate(docs):
+        for item, n, counts, _, _ in ix.items:
+            if 1 < len(toks(t)) < n:
+                sim = D.similarity(Counter(feats(t).tolist()), None, counts, lambda x: weight.get(x, D.other_weight(ix)))
+                if sim >= D.T:
+                    want[row, item] = (0, len(toks(t)), round(sim, 6))
+    assert len(want) == 90 and all(want[6 * k + j, k] for k in range(30) for j in range(3))
+    got = {(row, item): (a, e, s) for row, item, a, e, s, _ in D.scan(pa.array(docs), ix)}
+    assert got.keys() <= want.keys() and all(got[k] == want[k] for k in got) and len(got) >= 0.95 * len(want)
+    frame = lambda rows, c: spark.createDataFrame(rows, f"{c} bigint, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in D.contaminated(frame(list(enumerate(docs)), "doc_id"), frame(items, "item_id")).collect()} == set(got)
