@@ -197,12 +197,16 @@ def _short(first: np.ndarray, c: np.ndarray, ix: Index, t: float, slack: float):
 
 def _single(i: int, first: np.ndarray, one: np.ndarray, ix: Index):
     """Items of one word: the windows are the words."""
-    own = {next(iter(c)): item for item, n, c, _, _ in ix.items if n == 1}
+    own: dict[int, set[int]] = defaultdict(set)
+    for item, n, c, _, _ in ix.items:
+        if n == 1:
+            own[next(iter(c))].add(item)
     for r in range(len(first) - 1):
         f = one[first[r] : first[r + 1]].tolist()
-        for g, item in own.items():
+        for g, items in own.items():
             if g in f:
-                yield i + r, item, f.index(g), f.index(g) + 1, 1.0, 0
+                for item in sorted(items):
+                    yield i + r, item, f.index(g), f.index(g) + 1, 1.0, 0
 
 
 def _fingerprints(windows: list[tuple[int, int, int]], two: np.ndarray, weight_of):

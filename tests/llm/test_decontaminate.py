@@ -118,3 +118,8 @@ def test_rows_shorter_than_the_item(spark):
     assert got.keys() <= want.keys() and all(got[k] == want[k] for k in got) and len(got) >= 0.95 * len(want)
     frame = lambda rows, c: spark.createDataFrame(rows, f"{c} bigint, text string")
     assert {(x["doc_id"], x["item_id"]) for x in D.contaminated(frame(list(enumerate(docs)), "doc_id"), frame(items, "item_id")).collect()} == set(got)
+
+
+def test_items_of_one_equal_word():
+    ix = D.build([(1, "alpha"), (2, "Alpha"), (3, "beta"), (1, "alpha")])
+    assert sorted(D.scan(pa.array(["x alpha y", "beta"]), ix)) == [(0, 1, 1, 2, 1.0, 0), (0, 2, 1, 2, 1.0, 0), (1, 3, 0, 1, 1.0, 0)]
