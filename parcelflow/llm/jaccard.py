@@ -33,6 +33,8 @@ from pyspark.sql.window import Window
 from parcelflow.llm import textkit as tk
 
 N, T = 3, 0.55
+#: 0.55 * 100 is a little over 55: what bounds give way by, so that they pass all that the exact test passes.
+EPS = 1e-9
 #: A pair at T may be missed with that chance; together with SKETCH it says how many tokens of a sketch a document must share with a group.
 SKETCH, MISS = 64, 1e-7
 LIKE, HOT = 6, 256
@@ -82,7 +84,7 @@ def needed(t: float, k: int = SKETCH, miss: float = MISS) -> int:
 def cold_needed(t: float, percent: int, n: int) -> int:
     """The most cold tokens that sketches of two sets of Jaccard t share, one of them of n tokens, if up to so many percent of one of them are hot."""
     f = percent / 100
-    return min(_cold_share(t, percent), math.ceil((t - f) * n - 1e-9))
+    return min(_cold_share(t, percent), math.ceil((t - f) * n - EPS))
 
 
 @functools.cache
@@ -219,7 +221,7 @@ def _openings(batches):
         np.maximum.at(top, inverse, size[at])
         low = size[at].min()
         for k in range(len(groups)):  # in sketches of cold tokens about HOT at most
-            q = at[opens[at] & (d > least[k]) & (size[at] * T <= top[k])] if top[k] >= low * T else at[:0]
+            q = at[opens[at] & (d > least[k]) & (size[at] * T <= top[k] + EPS)] if top[k] + EPS >= low * T else at[:0]
             qs.append(doc[q]), gs.append(np.full(len(q), groups[k])), ns.append(need[q])
             held += len(q)
             if held > 300_000:
@@ -257,7 +259,7 @@ def _compare(t: float):
                 s = unpacked(raw)
                 a, b = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
                 n = b - a
-                if (n > 0).sum() < t * len(s):  # |Q & U| < t |Q|: no member can reach t, the group stays closed
+                if (n > 0).sum() < t * len(s) - EPS:  # |Q & U| < t |Q|: no member can reach t, the group stays closed
                     continue
                 at = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(ms))

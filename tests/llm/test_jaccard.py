@@ -140,3 +140,16 @@ def test_cold_tokens_needed():
             u, v = ({w: (need, set(t.tolist())) for w, need, t in J.sketches(s, hot, J.T)} for s in (x, y))
             assert any(len(u[w][1] & v[w][1]) >= max(u[w][0], v[w][0]) for w in u.keys() & v.keys())
     assert 0 < limit < 55 and J.cold_needed(J.T, limit, 10_000) >= J.LEFT
+
+
+@pytest.mark.parametrize("k", [20, 100, 180, 200, 220, 340])
+def test_pairs_at_the_threshold_itself(k):
+    import numpy as np
+
+    s = np.unique(tk.mix(np.arange(1, k + 1, dtype=tk.U64)))
+    part = s[: k * 55 // 100]
+    rows = {"doc_id": [1, 2], "member": [True, False], "query": [False, True], "set": [J.packed(part), J.packed(s)]}
+    assert J._compare(J.T)(pa.table(rows)).to_pylist() == [{"doc_a": 1, "doc_b": 2, "jaccard": 0.55}]
+    token = {"token": [7, 7], "doc_id": [1, 2], "gid": [1, 2], "n": [len(part), k], "need": [1, 1], "opens": [True, True]}
+    assert [(x["q"], x["gid"]) for b in J._openings(pa.table(token).to_batches()) for x in b.to_pylist()] == [(2, 1)]
+    assert J.cold_needed(J.T, 0, k) <= len(part)
