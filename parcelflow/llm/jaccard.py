@@ -1,22 +1,27 @@
 """Near duplicates: an n-gram Jaccard join over a token-group matrix.
 
 A document is the set of its word N-grams (a shorter one is a single n-gram of all its words). Equal sets are joined first:
-their smallest doc_id stands for them. The others are parted into groups of similar documents: a document joins the leader, the
-smallest id behind a token, with which its sketch shares the most tokens if these are LIKE at least, else it is a group of
+one of their rows stands for them. The others are parted into groups of similar documents: a document joins the leader, the
+smallest key behind a token, with which its sketch shares the most tokens if these are LIKE at least, else it is a group of
 its own. A cluster of near copies makes few groups. A group's column of the
 matrix is the union of its members' tokens. Two bounds decide which groups a document
-opens. (1) Over sketches, the SKETCH smallest tokens of a set in one order for all, a shuffle by token counts the
+opens. (1) Over sketches, the SKETCH smallest tokens of a set in one order for all, a join by token counts the
 tokens that a document shares with a group's union; documents at Jaccard p share each of the smallest tokens of their
 union with chance p at least, so the binomial law says how many common ones they have but for a chance of MISS. (2) Where document and group meet, the
 whole set against the whole union: |Q & U| >= T |Q|, else no member can qualify. Members of opened groups are compared
-exactly.
+exactly (64 bits a token), in cells of GROUP members and GROUP queries.
 
 Passages that very many documents share would make candidates of them all. Tokens in samples of over HOT groups are hot, and
 step (1) runs twice. Over sketches of the other, cold tokens: of a pair at T of which one document at least has a share of
 hot tokens up to f, the cold parts have Jaccard (T - f) / (1 - f) at least, and that says how many tokens they share.
-Over sketches of whole sets, for the documents with more hot tokens than hot_share(T): the pairs of which both are such.
+Over sketches of whole sets, for the dense documents, those with more hot tokens than hot_share(T): the pairs of which both are
+such, and only there.
 Samples go by another hash than the order of sketches. Otherwise hot tokens would be those early in the order, the cold ones
 early in it would be seldom shared, and the binomial law would not hold.
+
+The result has one row a document: its class (all that links connect) and its number of links. A cell adds up links and
+connects its members, so pairs never leave it. Tokens, classes and groups that hold a large share of all rows meet their
+statistics in joins whose other side is a written table of one row a key, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -44,10 +49,8 @@ SAMPLE = SKETCH // 2
 LEFT = 5
 #: Hot tokens (8 bytes each) that are broadcast at most; beyond it the least hot are left out, which costs time only.
 MOST_HOT = 2_000_000
-#: Rows (document, group; 33 bytes each) up to which they are broadcast, so that the sets go straight to their groups; beyond it they join the documents by shuffle.
-BROADCAST_IDS = 3_000_000
-#: Members and queries that meet in one task; larger groups are split.
-GROUP = 2048
+#: Members and queries (and tokens of either) that meet in one task; larger groups are split.
+GROUP, GROUP_TOKENS = 2048, 4_000_000
 
 
 def gram_sets(texts: pa.Array, n: int = N):
@@ -115,34 +118,34 @@ def sketches(s: np.ndarray, hot: np.ndarray, t: float, k: int = SKETCH):
         yield True, cold_needed(t, 0, len(s)), s[:k]
 
 
-def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, sig1, sig2, gid, tokens of rows with an id and a token: the set's signature, smallest second hash and sample."""
+def sets_of(rows: DataFrame, n: int = N) -> DataFrame:
+    """key, doc_id, sig1, sig2, gid, tokens of every row: the set's signature, smallest second hash and sample; null where there is no id, text or token."""
 
     def run(batches):
         for b in batches:
-            ids, out, tokens = tk.column(b, "doc_id"), [], []
-            for r, s in gram_sets(b.column("text"), n):
-                gid, sample = sampled(s)
-                out.append((ids[r], *_signature(s), gid))
-                tokens.append(sample.view(np.int64))
-            yield _with_tokens(out, tokens, [("doc_id", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("gid", pa.int64())])
+            keys, ids = b.column("key").to_pylist(), b.column("doc_id").to_pylist()
+            found = {r: (*_signature(s), *sampled(s)) for r, s in gram_sets(b.column("text"), n) if ids[r] is not None}
+            out = [(keys[r], ids[r], *(found[r][:3] if r in found else (None,) * 3)) for r in range(b.num_rows)]
+            tokens = [found[r][3].view(np.int64) if r in found else np.zeros(0, np.int64) for r in range(b.num_rows)]
+            yield _with_tokens(out, tokens, [(x, pa.int64()) for x in ("key", "doc_id", "sig1", "sig2", "gid")])
 
-    return _input(docs).mapInArrow(run, "doc_id bigint, sig1 bigint, sig2 bigint, gid bigint, tokens array<bigint>")
+    return rows.mapInArrow(run, "key bigint, doc_id bigint, sig1 bigint, sig2 bigint, gid bigint, tokens array<bigint>")
 
 
-def sketches_of(docs: DataFrame, hot, n: int = N, t: float = T) -> DataFrame:
-    """doc_id, n, whole, need, tokens: the sketches of rows with an id and a token; n is the set's size. hot: broadcast hot tokens."""
+def sketches_of(rows: DataFrame, hot, n: int = N, t: float = T) -> DataFrame:
+    """key, n, dense, whole, need, tokens: the sketches of rows with an id and a token; n is the set's size. hot: broadcast hot tokens."""
 
     def run(batches):
         for b in batches:
-            ids, out, tokens = tk.column(b, "doc_id"), [], []
+            keys, out, tokens = tk.column(b, "key"), [], []
             for r, s in gram_sets(b.column("text"), n):
-                for whole, need, sketch in sketches(s, hot.value, t):
-                    out.append((ids[r], len(s), whole, need))
+                each = list(sketches(s, hot.value, t))
+                for whole, need, sketch in each:
+                    out.append((keys[r], len(s), each[-1][0], whole, need))
                     tokens.append(sketch.view(np.int64))
-            yield _with_tokens(out, tokens, [("doc_id", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("need", pa.int32())])
+            yield _with_tokens(out, tokens, [("key", pa.int64()), ("n", pa.int64()), ("dense", pa.bool_()), ("whole", pa.bool_()), ("need", pa.int32())])
 
-    return _input(docs).mapInArrow(run, "doc_id bigint, n bigint, whole boolean, need int, tokens array<bigint>")
+    return _named(rows).mapInArrow(run, "key bigint, n bigint, dense boolean, whole boolean, need int, tokens array<bigint>")
 
 
 def _with_tokens(rows: list[tuple], tokens: list[np.ndarray], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -152,236 +155,170 @@ def _with_tokens(rows: list[tuple], tokens: list[np.ndarray], kinds: list[tuple[
     return pa.RecordBatch.from_arrays(arrays, [*(name for name, _ in kinds), "tokens"])
 
 
-def _input(docs: DataFrame) -> DataFrame:
-    return tk.texts_of(docs).where("doc_id is not null and text is not null")
-
-
-def _exploded(sets: DataFrame, *names: str) -> DataFrame:
-    return sets.select(*names, F.explode("tokens").alias("token")).repartition("token")
-
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key no two rows share: doc_id, if it is so itself; else a number, of rows written once, as such numbers hold for one reading only."""
+    tk.small_batches(docs.sparkSession)
+    own = F.col("doc_id").cast("bigint")
+    if docs.where(own.isNotNull()).groupBy(own.alias("i")).count().where("count > 1").isEmpty():
+        return docs.withColumn("__key", own)
+    return tk.checkpointed(docs.withColumn("__key", F.monotonically_increasing_id()))
 
-def _whole(batches) -> pa.Table | None:
-    b = [x for x in batches if x.num_rows]
-    return pa.Table.from_batches(b) if b else None
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("__key").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-def _token_groups(most: int):
-    """Of one partition's tokens: in how many groups each is that is in over `most`."""
 
-    def run(batches):
-        t = _whole(batches)
-        if t is None:
-            return
-        token, gid = tk.column(t, "token"), tk.column(t, "gid")
-        order = np.lexsort((gid, token))
-        token, gid = token[order], gid[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-        keys, count = np.unique(token[new], return_counts=True)
-        yield pa.RecordBatch.from_arrays([keys[count > most], count[count > most].astype(np.int64)], ["token", "groups"])
-
-    return run
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.where("doc_id is not null and text is not null").select("key", "text")
 
 
-def _shared_tokens(batches):
-    """Of one partition's tokens: the rows of tokens that two documents have or more, with the smallest of their ids and their number."""
-    t = _whole(batches)
-    if t is None:
-        return
-    token, doc, size, need = (tk.column(t, x) for x in ("token", "doc_id", "n", "need"))
-    order = np.lexsort((doc, token))
-    token, doc, size, need = token[order], doc[order], size[order], need[order]
-    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    run = np.diff(np.append(edge, len(token)))
-    leader, docs = np.repeat(doc[edge], run), np.repeat(run, run)
-    at = docs > 1
-    yield from pa.table([token[at], doc[at], size[at], need[at], leader[at], docs[at]], ["token", "doc_id", "n", "need", "leader", "docs"]).to_batches(1 << 16)
-
-
-def _openings(batches):
-    """Of one partition's tokens: (query, group, tokens shared) for groups that have a member of smaller id behind the token."""
-    t = _whole(batches)
-    if t is None:
-        return
-    token, doc, gid, size, need, opens = (tk.column(t, x) for x in ("token", "doc_id", "gid", "n", "need", "opens"))
-    order = np.argsort(token, kind="stable")
-    token = token[order]
-    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    end = np.append(edge[1:], len(token))
-    many = end - edge > 1
-    qs, gs, ns = [], [], []
-    held = 0
-    for a, e in zip(edge[many].tolist(), end[many].tolist()):
-        at = order[a:e]
-        d, g = doc[at], gid[at]
-        groups, inverse = np.unique(g, return_inverse=True)
-        least = np.full(len(groups), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, d)
-        top = np.full(len(groups), np.iinfo(np.int64).min)
-        np.maximum.at(top, inverse, size[at])
-        low = size[at].min()
-        for k in range(len(groups)):  # in sketches of cold tokens about HOT at most
-            q = at[opens[at] & (d > least[k]) & (size[at] * T <= top[k] + EPS)] if top[k] + EPS >= low * T else at[:0]
-            qs.append(doc[q]), gs.append(np.full(len(q), groups[k])), ns.append(need[q])
-            held += len(q)
-            if held > 300_000:
-                yield _counted(qs, gs, ns)
-                qs, gs, ns, held = [], [], [], 0
-    if held:
-        yield _counted(qs, gs, ns)
-
-
-def _counted(qs, gs, ns) -> pa.RecordBatch:
-    q, g, n = np.concatenate(qs), np.concatenate(gs), np.concatenate(ns)
-    order = np.lexsort((g, q))
-    q, g, n = q[order], g[order], n[order]
-    at = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])))
-    return pa.RecordBatch.from_arrays([q[at], g[at], n[at], np.diff(np.append(at, len(q)))], ["q", "gid", "need", "shared"])
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    r = parent[at]
+    while True:
+        up = parent[r]
+        if (up == r).all():
+            return r
+        r = up
 
 
 def _compare(t: float):
-    """Of one group: its members of smaller id for each query that opens it. Rows: doc_id, member, query, set."""
+    """Of one cell: its members of smaller key for each query that opens the group. Rows: key, m, member, query, dense, copies, set. A pair of dense documents counts where m < 0, any other where m >= 0."""
 
     def run(rows: pa.Table) -> pa.Table:
-        out = {"doc_a": [], "doc_b": [], "jaccard": []}
-        each = {(d, bytes(s)): (m, q) for d, m, q, s in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "member", "query", "set")))}
-        ms = sorted((d, s) for (d, s), (m, _) in each.items() if m)
-        if ms:
-            sets = [unpacked(s) for _, s in ms]
-            ids, sizes = np.array([d for d, _ in ms]), np.array(list(map(len, sets)))
-            owner = np.repeat(np.arange(len(ms)), sizes)
-            flat = np.concatenate(sets)
+        rows = rows.sort_by("key")
+        key, member, query, dense, copies = (tk.column(rows, c) for c in ("key", "member", "query", "dense", "copies"))
+        sets = [np.frombuffer(x, tk.U64) for x in rows.column("set").to_pylist()]
+        sizes = np.array(list(map(len, sets)))
+        links, parent = np.zeros(len(key), np.int64), np.arange(len(key))
+        ms = np.flatnonzero(member)
+        if len(ms):
+            both_dense = len(key) > 0 and rows.column("m")[0].as_py() < 0
+            owner = np.repeat(np.arange(len(ms)), sizes[ms])
+            flat = np.concatenate([sets[i] for i in ms.tolist()])
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            for (d, raw), (_, query) in each.items():
-                if not query:
-                    continue
-                s = unpacked(raw)
+            for x in np.flatnonzero(query).tolist():
+                s = sets[x]
                 a, b = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
                 n = b - a
                 if (n > 0).sum() < t * len(s) - EPS:  # |Q & U| < t |Q|: no member can reach t, the group stays closed
                     continue
                 at = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(ms))
-                j = both / (sizes + len(s) - both)
-                ok = (j >= t) & (ids < d)
-                out["doc_a"] += ids[ok].tolist()
-                out["doc_b"] += [d] * int(ok.sum())
-                out["jaccard"] += j[ok].tolist()
-        return pa.table(out, pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())]))
+                ok = (both / (sizes[ms] + len(s) - both) >= t) & (ms < x)
+                if dense[x] and not both_dense:
+                    ok &= ~dense[ms]
+                y = ms[ok]
+                if len(y):
+                    links[x] += copies[y].sum()
+                    links[y] += copies[x]
+                    r = np.unique(_roots(parent, np.append(y, x)))
+                    parent[r] = r[0]
+                    parent[y] = r[0]
+        got = np.flatnonzero(links)
+        return pa.table([key[got], links[got], key[_roots(parent, got)]], pa.schema([("key", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
     return run
 
 
-def packed(s: np.ndarray) -> bytes:
-    """A set's hashes as six bytes each, which is what crosses the network; a million comparisons of sets of a thousand confuse tokens with a chance of 1 in 300."""
-    return np.ascontiguousarray((s >> tk.U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+PLACED = "gid bigint, m int, k int, key bigint, member boolean, query boolean, dense boolean, copies bigint, set binary"
 
 
-def unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(tk.U64).ravel()
-
-
-PLACED = "gid bigint, m int, k int, doc_id bigint, member boolean, query boolean, set binary"
-
-
-def _placed_sets(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
-    """PLACED: the sets (hashes as bytes) of documents, once for each of their places (doc_id, gid, m, k, member, query)."""
-    docs = _input(docs)
-    names = ["gid", "m", "k", "member", "query"]
-    if places.count() <= BROADCAST_IDS:
-        t = places.toArrow()
-        order = np.argsort(tk.column(t, "doc_id"), kind="stable")
-        held = docs.sparkSession.sparkContext.broadcast((tk.column(t, "doc_id")[order], [tk.column(t, c)[order] for c in names]))
-    else:
-        held = None
-        docs = docs.join(places.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("__at")), "doc_id")
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-    cols = ["gid", "m", "k", "doc_id", "member", "query", "set"]
+def _placed_sets(rows: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """PLACED: the sets (hashes as bytes) of documents, once for each of their places (key, gid, m, k, member, query, dense, copies)."""
+    names = ["gid", "m", "k", "member", "query", "dense", "copies"]
+    held = places.groupBy(F.col("key").alias("__at_key")).agg(F.collect_list(F.struct(*names)).alias("at"))
+    rows = _named(rows).join(held, F.col("key") == F.col("__at_key")).select("key", "text", "at")
+    cols = ["gid", "m", "k", "key", "member", "query", "dense", "copies", "set"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary()]
 
     def run(batches):
         for b in batches:
-            if held is not None:
-                ids, values = held.value
-                i = tk.column(b, "doc_id")
-                b = b.filter(pa.array(np.searchsorted(ids, i, "right") > np.searchsorted(ids, i)))
-                i = tk.column(b, "doc_id")
-                lo, hi = np.searchsorted(ids, i), np.searchsorted(ids, i, "right")
-            else:
-                i, lists = tk.column(b, "doc_id"), b.column("__at")
+            keys, lists = tk.column(b, "key"), b.column("at")
             out, size = [], 0
             for r, s in gram_sets(b.column("text"), n):
-                raw = packed(s)
-                at = zip(*(v[lo[r] : hi[r]].tolist() for v in values)) if held is not None else ([x[c] for c in names] for x in lists[r].as_py())
-                for g, m, k, member, query in at:
-                    out.append((g, m, k, int(i[r]), member, query, raw))
+                raw = s.tobytes()
+                for x in lists[r].as_py():
+                    out.append((x["gid"], x["m"], x["k"], int(keys[r]), x["member"], x["query"], x["dense"], x["copies"], raw))
                     size += len(raw)
-                if size > tk.CHUNK_BYTES:  # small batches: the receiving side holds one at a time
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], cols)
-                    out, size = [], 0
+                    if size > tk.CHUNK_BYTES:  # small batches: the receiving side holds one at a time
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], cols)
+                        out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], cols)
 
-    return docs.mapInArrow(run, PLACED)
-
+    return rows.mapInArrow(run, PLACED)
 
-def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
-    """doc_a, doc_b, jaccard, kind: the join, doc_a < doc_b.
 
-    kind `copy`: doc_a is the smallest id of all documents with the same n-gram set, doc_b another of them; jaccard 1.
-    kind `near`: doc_a and doc_b are smallest ids of their sets, with t <= jaccard < 1. So every pair of the join follows:
-    the copies of doc_a with the copies of doc_b. Rows without doc_id, text or token join nothing. A doc_id that comes
-    twice with equal sets isn't paired with itself; with unequal ones each of its sets takes part under that id.
-    Other columns are ignored.
-    """
+def classes(docs: DataFrame, n: int = N, t: float = T) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, sig1, sig2 of every row of keyed docs; sig1, sig2, class_id, stays, links of the sets that are linked or come more than once). stays: the key of the class's row of smallest doc_id."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    sets = tk.checkpointed(sets_of(docs, n))
-    sigs = sets.select("doc_id", "sig1", "sig2")
-    reps = sigs.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("doc_a"))
-    copies = sigs.join(reps, ["sig1", "sig2"]).where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")).distinct()
-    copies = tk.checkpointed(copies)
-    others = copies.select(F.col("doc_b").alias("doc_id")).distinct()  # they are stood for by a smaller id
-    first = sets.join(others, "doc_id", "left_anti")
-    counts = _exploded(first, "gid").mapInArrow(_token_groups(HOT), "token bigint, groups bigint")
+    rows = _rows(docs)
+    sets = tk.checkpointed(sets_of(rows, n))
+    with_set = sets.where("sig1 is not null")
+    reps = with_set.groupBy("sig1", "sig2").agg(F.min(F.struct("doc_id", "key")).alias("low"), F.count(F.lit(1)).alias("copies"))
+    reps = tk.checkpointed(reps.select("sig1", "sig2", "low.key", "low.doc_id", "copies"))
+    met = with_set.select("gid", F.explode("tokens").alias("token")).distinct()  # equal sets have one gid: copies count once
+    counts = met.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > HOT)
     hot = counts.orderBy(F.desc("groups"), "token").limit(MOST_HOT).select("token").toArrow()
     hot = np.sort(tk.unsigned(tk.column(hot, "token")))
-    final = tk.checkpointed(sketches_of(docs, sc.broadcast(hot), n, t).join(others, "doc_id", "left_anti"))
+    final = tk.checkpointed(sketches_of(rows, spark.sparkContext.broadcast(hot), n, t).join(reps.select("key", "copies"), "key"))
     places = _places(final.where("not whole"))
     whole = final.where("whole")
     if not whole.isEmpty():
         places = places.union(_places(whole).withColumn("m", -1 - F.col("m")))  # groups of their own
-    found = _placed_sets(docs, tk.checkpointed(places), n).groupBy("gid", "m", "k").applyInArrow(_compare(t), "doc_a bigint, doc_b bigint, jaccard double")
-    found = found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")).where("jaccard < 1")
-    return found.select("doc_a", "doc_b", F.round("jaccard", 9).alias("jaccard"), F.lit("near").alias("kind")).unionByName(copies)
+    places = places.join(final.select("key", "dense", "copies").distinct(), "key")
+    found = _placed_sets(rows, places, n).groupBy("gid", "m", "k").applyInArrow(_compare(t), "key bigint, links bigint, root bigint")
+    found = tk.checkpointed(found)
+    near = found.groupBy("key").agg(F.sum("links").alias("near"))
+    roots = components(found.where("key <> root").select(F.col("key").alias("doc_a"), F.col("root").alias("doc_b"))).withColumnRenamed("doc_id", "key")
+    linked = reps.join(near, "key", "left").join(roots, "key", "left").where("copies > 1 or near is not null")
+    linked = tk.checkpointed(linked.select("sig1", "sig2", "key", "doc_id", F.coalesce("root", "key").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")))
+    best = tk.checkpointed(linked.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("low")).select("root", F.col("low.doc_id").alias("class_id"), F.col("low.key").alias("stays")))
+    linked = tk.checkpointed(linked.join(best, "root").select("sig1", "sig2", "class_id", "stays", "links"))
+    return sets.select("key", "doc_id", "sig1", "sig2"), linked
+
+
+def near_classes(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """doc_id, class_id, links: one row for each row of docs.
+
+    links: how many other rows have an n-gram set at Jaccard t or more, copies among them. class_id: the smallest doc_id of all
+    rows that links connect with this one, directly or through others; a row without links is a class of its own. Rows
+    without doc_id, text or token link nothing; their class is their doc_id. Every row counts by itself: rows that repeat an id
+    and a text are copies of each other, rows that repeat an id with other texts may be in several classes. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    rows, linked = classes(keyed(docs), n, t)
+    alone = rows.where("sig1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    rows = rows.where("sig1 is not null").join(linked, ["sig1", "sig2"], "left")
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")).unionByName(alone)
 
 
 def _places(sketched: DataFrame) -> DataFrame:
-    """doc_id, gid, m, k, member, query: where documents must meet, by sketches that share as many tokens as needed."""
-    spark = sketched.sparkSession
-    shared = _exploded(sketched, "doc_id", "n", "need").mapInArrow(_shared_tokens, "token bigint, doc_id bigint, n bigint, need int, leader bigint, docs bigint")
-    shared = tk.checkpointed(shared)  # a document that shares no token is out
-    led = shared.groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("c"))
-    best = F.max_by("leader", F.when((F.col("leader") < F.col("doc_id")) & (F.col("c") >= LIKE), F.struct("c", -F.col("leader"))))
-    gids = led.groupBy("doc_id").agg(F.coalesce(best, F.col("doc_id")).alias("gid"))
+    """key, gid, m, k, member, query: where documents must meet, by sketches that share as many tokens as needed."""
+    each = sketched.select("key", "n", "need", F.explode("tokens").alias("token"))
+    behind = tk.checkpointed(each.groupBy("token").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("docs")).where("docs > 1"))
+    shared = tk.checkpointed(each.join(behind, "token"))  # a document that shares no token is out
+    led = shared.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    best = F.max_by("leader", F.when((F.col("leader") < F.col("key")) & (F.col("c") >= LIKE), F.struct("c", -F.col("leader"))))
+    gids = led.groupBy("key").agg(F.coalesce(best, F.col("key")).alias("gid"), F.max("n").alias("n"))
     # a query that shares `need` tokens with a group shares one at least of any but need - 1 of its tokens: its most common ones open nothing
     skip = F.greatest(F.lit(0), F.col("need") - LEFT)
-    w = Window.partitionBy("doc_id").orderBy(F.desc("docs"), "token")
-    ranked = shared.select("token", "doc_id", "n", "need", (F.row_number().over(w) > skip).alias("opens"))
-    rows = ranked.join(gids, "doc_id").select("token", "doc_id", "gid", "n", "need", "opens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # what comes out is larger than what goes in, so partitions aren't merged
-    opened = rows.repartition(parts, "token").mapInArrow(_openings, "q bigint, gid bigint, need int, shared bigint").groupBy("q", "gid").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-    opened = tk.checkpointed(opened.where(F.col("shared") >= F.col("need") - skip).select("q", "gid"))
+    w = Window.partitionBy("key").orderBy(F.desc("docs"), "token")
+    ranked = shared.select("token", "key", "n", "need", (F.row_number().over(w) > skip).alias("opens"))
+    rows = ranked.join(gids.drop("n"), "key").select("token", "key", "gid", "n", "need", "opens")
+    columns = rows.groupBy("token", "gid").agg(F.min("key").alias("least"), F.max("n").alias("top"))  # the matrix: a group's union of tokens
+    opened = rows.where("opens").select("token", F.col("key").alias("q"), "n", "need").join(columns, "token").where((F.col("q") > F.col("least")) & (F.col("n") * T <= F.col("top") + EPS))
+    opened = opened.groupBy("q", "gid").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"), F.max("n").alias("n"))
+    opened = tk.checkpointed(opened.where(F.col("shared") >= F.col("need") - skip).select("q", "gid", "n"))
     groups = tk.checkpointed(gids.join(opened.select("gid").distinct(), "gid", "left_semi"))
-    parts = groups.groupBy("gid").count().select("gid", F.ceil(F.col("count") / GROUP).alias("__m"))
-    parts = parts.join(opened.groupBy("gid").count().select("gid", F.ceil(F.col("count") / GROUP).alias("__q")), "gid")
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS))
+    parts = tk.checkpointed(groups.groupBy("gid").agg(many.alias("__m")).join(opened.groupBy("gid").agg(many.alias("__q")), "gid"))
     part = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("bigint")
     upto = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col(k) - 1).cast("bigint")))
-    members = groups.join(parts, "gid").select("doc_id", "gid", part("doc_id", "__m").alias("m"), upto("__q").alias("k"), F.lit(True).alias("member"), F.lit(False).alias("query"))
-    queries = opened.join(parts, "gid").select(F.col("q").alias("doc_id"), "gid", upto("__m").alias("m"), part("q", "__q").alias("k"), F.lit(False).alias("member"), F.lit(True).alias("query"))
-    return members.union(queries).groupBy("doc_id", "gid", F.col("m").cast("int").alias("m"), F.col("k").cast("int").alias("k")).agg(F.max("member").alias("member"), F.max("query").alias("query"))
+    members = groups.join(parts, "gid").select("key", "gid", part("key", "__m").alias("m"), upto("__q").alias("k"), F.lit(True).alias("member"), F.lit(False).alias("query"))
+    queries = opened.join(parts, "gid").select(F.col("q").alias("key"), "gid", upto("__m").alias("m"), part("q", "__q").alias("k"), F.lit(False).alias("member"), F.lit(True).alias("query"))
+    return members.union(queries).groupBy("key", "gid", F.col("m").cast("int").alias("m"), F.col("k").cast("int").alias("k")).agg(F.max("member").alias("member"), F.max("query").alias("query"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -389,44 +326,41 @@ def components(pairs: DataFrame) -> DataFrame:
     edges = tk.checkpointed(pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).distinct())
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = tk.checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # written, so that a node of many neighbours can be split in the join
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = tk.checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = tk.checkpointed(small.where("u <> v").distinct())
         # done once every node hangs on a root that hangs on nothing
-        if new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+        if new.select("v").distinct().join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
             return new.select(F.col("u").alias("doc_id"), F.col("v").alias("root")).union(new.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct())
         edges = new
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(tk.table(spark, sf_dir, "documents"))
+    return near_classes(tk.table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the documents that are linked, directly or through others, to one of a smaller id. Rows without doc_id, text or tokens stay. Of rows that repeat an id, one stays."""
-    drop = tk.checkpointed(components(near_pairs(docs)).where("doc_id <> root").select("doc_id").distinct())
-    twice = tk.checkpointed(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(_hinted(drop), "doc_id", "left_anti").select(*docs.columns)
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-
-
-def _hinted(ids: DataFrame) -> DataFrame:
-    """Broadcast if no more than BROADCAST_IDS rows, so that the documents aren't shuffled for it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """docs with one row of each class, that of the smallest doc_id. Rows without doc_id, text or tokens stay, and so do rows that repeat the id of a removed one with an unlike text."""
+    own = keyed(docs)
+    rows, linked = classes(own)
+    drop = rows.join(linked, ["sig1", "sig2"]).where("key <> stays").select(F.col("key").alias("__drop"))
+    return own.join(drop, F.col("__key") == F.col("__drop"), "left_anti").select(*docs.columns)
 
 
 SQL = rf"""
-with w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10ffff}}]+') as ws from documents where doc_id is not null)
+with recursive w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10ffff}}]+') as ws from documents where doc_id is not null)
 , g as (select distinct doc_id, array_to_string(list_slice(ws, i, i + {N - 1}), ' ') as gram from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {N - 1}, 1) + 1)) as i from w where len(ws) > 0))
 , c as (select doc_id, count(*) as n, list(gram order by gram) as all_grams from g group by doc_id)
-, r as (select doc_id, n, min(doc_id) over (partition by all_grams) as rep from c)
+, r as (select doc_id, n, min(doc_id) over (partition by all_grams) as rep, count(*) over (partition by all_grams) as copies from c)
 , k as (select g.doc_id, gram from g join r using (doc_id) where doc_id = rep)
-, p as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as hits from k a join k b on a.gram = b.gram and a.doc_id < b.doc_id group by all)
-select doc_a, doc_b, round(hits / (x.n + y.n - hits)::double, 9) as jaccard, 'near' as kind from p join r x on x.doc_id = doc_a join r y on y.doc_id = doc_b where hits / (x.n + y.n - hits)::double >= {T}
-union all select rep, doc_id, 1.0, 'copy' from r where doc_id > rep
+, p as (select a.doc_id as a, b.doc_id as b, count(*) as hits from k a join k b on a.gram = b.gram and a.doc_id < b.doc_id group by all)
+, e as (select p.a, p.b, x.copies as ca, y.copies as cb from p join r x on x.doc_id = p.a join r y on y.doc_id = p.b where hits / (x.n + y.n - hits)::double >= {T})
+, l as (select a as x, b as y, cb as copies from e union all select b, a, ca from e)
+, reach as (select x, y from l union select reach.x, l.y from reach join l on reach.y = l.x)
+, near as (select x, sum(copies) as links from l group by x)
+, low as (select x, min(y) as y from reach group by x)
+select d.doc_id, coalesce(least(rep, low.y), d.doc_id) as class_id, coalesce(copies - 1 + coalesce(links, 0), 0)::bigint as links
+from documents d left join r on r.doc_id = d.doc_id left join near on near.x = rep left join low on low.x = rep
 """

@@ -15,25 +15,38 @@ def grams(t: str) -> frozenset:
     return frozenset(tuple(w[i : i + J.N]) for i in range(max(1, len(w) - J.N + 1))) if w else frozenset()
 
 
-def brute(rows) -> set:
-    by = defaultdict(list)
-    for i, t in rows:
-        if i is not None and t and grams(t):
-            by[grams(t)].append(i)
-    out = set()
-    reps = sorted((min(v), s) for s, v in by.items())
-    for s, v in by.items():
-        out |= {(min(v), i, 1.0, "copy") for i in v if i > min(v)}
-    for k, (a, s) in enumerate(reps):
-        for b, u in reps[k + 1 :]:
-            j = len(s & u) / len(s | u)
-            if j >= J.T:
-                out.add((a, b, round(j, 9), "near"))
-    return out
-
-
-def pairs(df) -> set:
-    return {(r["doc_a"], r["doc_b"], r["jaccard"], r["kind"]) for r in J.near_pairs(df).collect()}
+def near(a: frozenset, b: frozenset) -> bool:
+    return len(a & b) >= J.T * len(a | b) - 1e-12
+
+
+def brute(rows) -> list:
+    """(doc_id, class_id, links) of every row, by all pairs of rows."""
+    sets = [grams(t) if i is not None and t else frozenset() for i, t in rows]
+    links, root = [0] * len(rows), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, s in enumerate(sets):
+        for y in range(x):
+            if s and sets[y] and near(s, sets[y]):
+                links[x] += 1
+                links[y] += 1
+                root[find(x)] = find(y)
+    low = defaultdict(list)
+    for x, (i, _) in enumerate(rows):
+        low[find(x)].append(i)
+    return ordered((i, i if i is None else min(low[find(x)]), n) for x, ((i, _), n) in enumerate(zip(rows, links)))
+
+
+def ordered(rows) -> list:
+    return sorted(rows, key=repr)
+
+
+def got(df) -> list:
+    return ordered((r["doc_id"], r["class_id"], r["links"]) for r in J.near_classes(df).collect())
 
 
 def corpus(seed=5):
@@ -49,40 +62,63 @@ def corpus(seed=5):
     return rows + [(n + k, rows[0][1].upper()) for k in range(5)]
 
 
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
 def test_against_brute_force(spark):
     rows = corpus()
-    want, got = brute(rows), pairs(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert got <= want and len(got & want) >= 0.999 * len(want)
+    assert got(frame(spark, rows)) == brute(rows)
 
 
-def test_hot_tokens_split_groups_and_shuffled_sets(spark, monkeypatch):
+def test_hot_tokens_and_split_groups(spark, monkeypatch):
     rows = corpus(6)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
     monkeypatch.setattr(J, "HOT", 3)
     monkeypatch.setattr(J, "GROUP", 2)
-    monkeypatch.setattr(J, "BROADCAST_IDS", 0)
-    assert pairs(df) == brute(rows)
+    assert got(frame(spark, rows)) == brute(rows)
+    monkeypatch.setattr(J, "GROUP", 2048)
+    monkeypatch.setattr(J, "GROUP_TOKENS", 100)
+    assert got(frame(spark, rows)) == brute(rows)
+
+
+def test_dense_pairs_count_once(spark, monkeypatch):
+    r = random.Random(9)
+    common = [f"s{k}" for k in range(60)]
+    rows = [(k, " ".join([f"a{k}x{j}" for j in range(r.randrange(4, 40))] + common)) for k in range(40)]
+    monkeypatch.setattr(J, "HOT", 3)
+    want = brute(rows)
+    assert any(n for *_, n in want) and got(frame(spark, rows)) == want
 
 
 def test_sql_at_the_smallest_size(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
-    want = set(con.sql(J.SQL).fetchall())
-    got = {(r["doc_a"], r["doc_b"], r["jaccard"], r["kind"]) for r in J.near_pairs(tk.table(spark, sf, "documents")).select("doc_a", "doc_b", "jaccard", "kind").collect()}
-    assert got == want
+    assert got(tk.table(spark, sf, "documents")) == ordered(con.sql(J.SQL).fetchall())
 
 
 def test_odd_rows(spark, odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    want = brute([x for k, x in enumerate(rows) if x not in rows[:k]])
-    assert pairs(odd) == want and (1, 11, 1.0, "copy") in want
-    assert pairs(empty) == set()
+    assert got(odd) == brute(rows)
+    assert got(empty) == []
     kept = J.stage(spark, odd, "").collect()
     ids = [r["doc_id"] for r in kept]
     assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13] and ids.count(None) == 2
     assert kept[0].__fields__ == odd.columns
 
 
+def test_ids_that_repeat(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    for rows in ([(1, a), (5, a), (5, c)], [(1, a), (2, b), (5, a), (5, b + " more")], [(5, a), (1, a), (5, a), (5, a + " x"), (7, ""), (7, c), (None, a)]):
+        df = frame(spark, rows)
+        assert got(df) == brute(rows)
+        kept = [(r["doc_id"], r["text"]) for r in J.stage(spark, df, "").collect()]
+        sets = [grams(t) for i, t in kept if i is not None and t]
+        assert set(kept) <= set(rows) and not any(near(x, y) for k, x in enumerate(sets) for y in sets[:k])
+        assert all(any(near(grams(t), s) for s in sets) for i, t in rows if i is not None and t)  # no text is lost
+    assert {(r["doc_id"], r["text"]) for r in J.stage(spark, frame(spark, [(1, a), (5, a), (5, c)]), "").collect()} == {(1, a), (5, c)}
+    assert {(r["doc_id"], r["text"]) for r in J.stage(spark, frame(spark, [(5, a), (1, a), (3, c), (3, c)]), "").collect()} == {(1, a), (3, c)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     r = random.Random(seed)
@@ -112,10 +148,9 @@ def test_common_part_of_widespread_passages(spark):
         order = r.sample(range(10), 10)
         rows.append((k, " ".join([f"a{k}x{j}" for j in range(48)] + [w for p in order for w in passages[p]])))
     rows += [(100 + k, " ".join(passages[k % 10] + [f"c{k}x{j}" for j in range(14)])) for k in range(7000)]
-    few = {(a, b) for a in range(6) for b in range(a + 1, 6)}
-    want = {x for x in brute(rows[:6])}
-    assert {x[:2] for x in want} == few
-    assert pairs(spark.createDataFrame(rows, "doc_id bigint, text string")) == want  # two carriers of a passage are at 0.39, a carrier and a long one under 0.1
+    want = brute(rows[:6])
+    assert [n for *_, n in want] == [5] * 6
+    assert got(frame(spark, rows)) == ordered(want + [(i, i, 0) for i, _ in rows[6:]])  # two carriers of a passage are at 0.39, a carrier and a long one under 0.1
 
 
 def test_hot_tokens_are_independent_of_the_order_of_sketches():
@@ -148,8 +183,11 @@ def test_pairs_at_the_threshold_itself(k):
 
     s = np.unique(tk.mix(np.arange(1, k + 1, dtype=tk.U64)))
     part = s[: k * 55 // 100]
-    rows = {"doc_id": [1, 2], "member": [True, False], "query": [False, True], "set": [J.packed(part), J.packed(s)]}
-    assert J._compare(J.T)(pa.table(rows)).to_pylist() == [{"doc_a": 1, "doc_b": 2, "jaccard": 0.55}]
-    token = {"token": [7, 7], "doc_id": [1, 2], "gid": [1, 2], "n": [len(part), k], "need": [1, 1], "opens": [True, True]}
-    assert [(x["q"], x["gid"]) for b in J._openings(pa.table(token).to_batches()) for x in b.to_pylist()] == [(2, 1)]
+    rows = {"key": [1, 2], "m": [0, 0], "member": [True, False], "query": [False, True], "dense": [False, False], "copies": [3, 4], "set": [part.tobytes(), s.tobytes()]}
+    assert J._compare(J.T)(pa.table(rows)).to_pylist() == [{"key": 1, "links": 4, "root": 1}, {"key": 2, "links": 3, "root": 1}]
     assert J.cold_needed(J.T, 0, k) <= len(part)
+
+
+def test_pairs_at_the_threshold_itself_open_their_group(spark):
+    rows = [(k, " ".join(f"b{k}x{j}" for j in range(m + 2))) for k, m in enumerate((55, 110))] + [(10 + k, " ".join(f"b{k}x{j}" for j in range(n + 2))) for k, n in enumerate((100, 200))]
+    assert got(frame(spark, rows)) == brute(rows) and [n for *_, n in brute(rows)] == [1] * 4
