@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import boxes
 from parcelflow.operators.spatial import box_join
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the checkpoint folder; where the session names none, as in tests, to one of our own."""
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+from parcelflow.session import cut
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -24,13 +15,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # written, so that a node of many neighbours can be split in the join
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = cut(small.where("u <> v").distinct())
         roots = new.select(F.col("v").alias("u")).distinct()
-        if new.join(roots, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+        if new.select("u").distinct().join(roots, "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
             break
         e = new
     return nodes.select("id").join(new.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
