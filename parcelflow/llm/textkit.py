@@ -9,7 +9,6 @@ by a mixer; equal tokens have equal hashes on every machine.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelflow.session import cut, shared_folder  # noqa: F401
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18
 #: Rows of an Arrow batch, where the session has Spark's default.
@@ -106,9 +107,9 @@ def _sliced(texts, prepare, most: int, rows: int):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of fewer rows than Spark's default, as whole texts are large rows; a setting of the user's own stays."""
+    """Arrow batches of fewer rows than Spark's default for this session, as whole texts are large rows. A setting of the user's own stays, whatever its value."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if not spark._jsparkSession.conf().contains(key):
         spark.conf.set(key, str(BATCH_ROWS))
 
 
@@ -184,19 +185,18 @@ def word_hash(*words: str) -> list[int]:
     return [int(x) for x in run_hashes(buf, np.array([0, *(ends[:-1] + 1)]), ends)]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares. Only where the session names none, as in tests, a folder of our own."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written to path as Parquet and read again; Spark's file system removes it when the application ends."""
+    spark = df.sparkSession
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
