@@ -44,19 +44,24 @@ class Model:
 
 
 def segments(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments, by Ruzzo and Tompa's scan. low and high: the cumulative score before and after each positive token. Gives (first positive, last positive, score)."""
-    kept: list[list] = []
+    """All maximal scoring segments, by Ruzzo and Tompa's scan. low and high: the cumulative score before and after each positive token. Gives (first positive, last positive, score).
+
+    link has, for each candidate kept, the nearest one before it that starts lower; what lies between starts no lower and need never be looked at again, so the work is linear.
+    """
+    kept: list[tuple[int, int, float, float]] = []
+    link: list[int] = []
     for i, (lo, hi) in enumerate(zip(low.tolist(), high.tolist())):
-        new = [i, i, lo, hi]
+        first, j = i, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= lo:
+                j = link[j]
+            if j < 0 or kept[j][3] >= hi:
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
-            del kept[j:]
+            first, lo, before = kept[j][0], kept[j][2], link[j]
+            del kept[j:], link[j:]
+            j = before
+        kept.append((first, i, lo, hi))
+        link.append(j)
     return [(a, b, h - l) for a, b, l, h in kept]
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -32,6 +33,18 @@ def test_segments_are_all_maximal_ones():
         assert scan(s) == maximal(s)
 
 
+def test_time_is_linear():
+    def took(n: int, step: float) -> float:
+        low = np.arange(n) * step
+        start = time.perf_counter()
+        assert len(X.segments(low, low + 0.5)) >= 1
+        return time.perf_counter() - start
+
+    for step in (-1.0, 0.25, 1e-9):  # each positive token starts lower than the one before; or higher; or all join
+        small = min(took(20_000, step) for _ in range(3))
+        assert min(took(80_000, step) for _ in range(3)) < 6 * small + 0.01
+
+
 def test_lambda_solves_its_equation():
     p, s = np.array([0.9, 0.1]), np.array([-0.5, 2.0])
     lam = X.solve_lambda(p, s)
