@@ -4,7 +4,8 @@ Documents are cut into pieces of at most CAPACITY tokens (full pieces and a rest
 each length has (at most CAPACITY numbers) and runs best-fit decreasing over the counts: pieces of one length go, as many at
 once as there are, into the open bins with the least room that is enough, then into new bins. The plan is runs of slots
 (length, ranks, bins, offset); its size depends on CAPACITY, not on the corpus. A piece takes the slot of its rank
-within its length. Ranks come in two levels, bucket by bucket, so that no task sorts all pieces of a common length.
+within its length. Ranks come in two levels, bucket by bucket, so that no task sorts all pieces of a common length; a length has
+as many buckets as its pieces need.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 from parcelflow.llm import textkit as tk
 
 CAPACITY = 2048
-#: Sub-groups of each length, ranked apart.
-BUCKETS = 64
+#: Pieces of one length that are ranked in one bucket, about.
+BUCKET = 500_000
 #: Rows of the plan up to which it is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -87,12 +88,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return x.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("__n") - F.col("piece") * capacity).alias("length"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset: one row for each piece of each row of docs. Bins are numbered from 0, hold at most `capacity` tokens and their pieces don't overlap. Equal lengths and repeated rows rank in any order; each takes a slot of its own. An empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
-    rows = tk.checkpointed(pieces(docs, capacity).withColumn("__bucket", bucket))  # numbers only; both readers use the same
-    counts = rows.groupBy("length", "__bucket").count().collect()  # at most capacity * buckets rows
+    rows = tk.checkpointed(pieces(docs, capacity))  # numbers only; both readers use the same
+    sizes = [(r[0], -(-r[1] // bucket)) for r in rows.groupBy("length").count().collect()]  # at most capacity rows
+    sizes = F.broadcast(spark.createDataFrame(sizes, "length bigint, __buckets bigint"))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.col("__buckets"))
+    rows = tk.checkpointed(rows.join(sizes, "length").select("doc_id", "piece", "start", "length", spread.alias("__bucket")))
+    counts = rows.groupBy("length", "__bucket").count().collect()  # a row for each `bucket` pieces, and capacity rows at most besides
     histogram: dict[int, int] = {}
     before = []
     for length, b, n in sorted((r[0], r[1], r[2]) for r in counts):

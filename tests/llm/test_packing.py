@@ -59,7 +59,7 @@ def test_too_long_a_piece():
 @pytest.mark.parametrize("limit", [0, 10**9])
 def test_every_piece_has_one_slot(spark, odd, limit, monkeypatch):
     monkeypatch.setattr(P, "BROADCAST_ROWS", limit)
-    got = P.pack(odd, 256).collect()
+    got = P.pack(odd, 256, 40).collect()
     want = sum(-(-(len((r["text"] or "").split()) + 1) // 256) for r in odd.collect())
     assert len(got) == want
     slots = defaultdict(list)
