@@ -1,10 +1,12 @@
 """Token counts under a unigram piece model, by dynamic programming over a trie of distinct pre-tokens.
 
-A pre-token is a blank-delimited run of bytes behind a word mark. A chunk's distinct pre-tokens go into a trie, built level
-by level as arrays: the nodes of level d are the distinct prefixes of d bytes. A node's best score is the maximum over the
-pieces that end there of the score at the ancestor where the piece starts plus the piece's; it depends on the prefix alone,
-so it is computed once for all words that share it, and its token count with it. The terminal nodes' counts are stored by
-word and summed by document. Texts are only read: no shuffle. What is broadcast is the vocabulary, of fixed size.
+A pre-token is a blank-delimited run of bytes behind a word mark. A chunk's new distinct pre-tokens form a trie, which is walked
+depth first: in sorted order, the nodes of a word that no word before it has are its prefixes beyond those it shares with the
+word before, and the path from the root lies on a stack. A node's forward score is the maximum over the pieces that end there
+of the score at the ancestor where the piece starts plus the piece's; it depends on the prefix alone, so it is computed
+once for all words that share it, and its token count with it. Of the terminal nodes the counts are stored by word, for all
+chunks to come, and summed by document. Words of any length take the same way, in time linear in their new nodes.
+Texts are only read: no shuffle. What is broadcast is the vocabulary, of fixed size.
 """
 
 from __future__ import annotations
@@ -24,20 +26,19 @@ VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 #: Log-probability of a single byte that no piece covers.
 BYTE_SCORE = -20.0
-#: Longer pre-tokens are scored one by one, with the same recurrence.
-WIDE = 32
 
 SCHEMA = "doc_id bigint, n_pretokens bigint, n_tokens bigint, log_prob double"
 
 
+#: In Pieces.ends, what only ends longer pieces.
+TAIL = math.inf
+
+
 @dataclass
 class Pieces:
-    """Distinct pieces by hash (ascending), their scores, the longest in bytes."""
+    """ends: the score of every piece, and TAIL for what only ends longer ones, so that the way back from a node stops where no piece can end."""
 
-    hashes: np.ndarray
-    scores: np.ndarray
-    longest: int
-    by_text: dict[bytes, float]
+    ends: dict[bytes, float]
 
 
 def load(path: str = VOCABULARY) -> Pieces:
@@ -52,94 +53,41 @@ def load(path: str = VOCABULARY) -> Pieces:
 
 
 def pieces(scores: dict[bytes, float]) -> Pieces:
-    h = np.array(prefix_hash(list(scores)), tk.U64)
-    s = np.array(list(scores.values()))
-    order = np.argsort(h)
-    return Pieces(h[order], s[order], max(map(len, scores), default=1), dict(scores))
-
-
-_P = 0x9E3779B97F4A7C15
-
-
-def prefix_hash(texts: list[bytes]) -> list[int]:
-    """The hash that the trie gives to a span of bytes: sum of code(b_i) * P**i, mixed with the length."""
-    out = []
-    for t in texts:
-        x = 0
-        for i, b in enumerate(t):
-            x = (x + int(tk.BYTE_CODE[b]) * pow(_P, i, 1 << 64)) & (2**64 - 1)
-        out.append((x + len(t)) & (2**64 - 1))
-    return tk.mix(np.array(out, tk.U64)).tolist()
+    ends = {p[k:]: TAIL for p in scores for k in range(1, len(p))}
+    return Pieces(ends | scores)
 
 
-def one_by_one(word: bytes, v: Pieces) -> tuple[int, float]:
-    """Tokens and score of one word. Of equal scores the shortest last piece wins, as in the trie."""
-    best, count = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
-    for d in range(1, len(word) + 1):
-        for k in range(1, min(v.longest, d) + 1):
-            s = v.by_text.get(word[d - k : d])
-            if s is None:
-                if k > 1:
-                    continue
-                s = BYTE_SCORE
-            if best[d - k] + s > best[d]:
-                best[d], count[d] = best[d - k] + s, count[d - k] + 1
-    return count[-1], best[-1]
+def shared(a: bytes, b: bytes) -> int:
+    """Bytes of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(k for k, (x, y) in enumerate(zip(a, b)) if x != y)
 
 
 def trie_counts(words: list[bytes], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and scores of distinct words of at most WIDE bytes."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
-    order = sorted(range(len(words)), key=words.__getitem__)
-    n = len(words)
-    size = np.array([len(words[i]) for i in order])
-    width = int(size.max())
-    grid = np.zeros((n, width), np.uint8)
-    flat = np.frombuffer(b"".join(words[i] for i in order), np.uint8)
-    grid[np.arange(width) < size[:, None]] = flat
-    p, inv = tk.powers(_P, width + 1)
-    # words in order, so the words below a node are a run: a node is its run's first word
-    same = np.ones(n, bool)
-    same[0] = False
-    node = np.zeros((width + 1, n), np.int32)  # each word's node on each level
-    parents = [np.zeros(1, np.int32)]
-    prefix = [np.zeros(1, tk.U64)]
-    best, count = [np.zeros(1)], [np.zeros(1, np.int32)]
-    anc: list[np.ndarray] = []
-    tokens, score = np.zeros(n, np.int64), np.zeros(n)
-    for d in range(1, width + 1):
-        here = size >= d
-        new = here.copy()
-        new[1:] &= ~(same[1:] & here[:-1] & (grid[1:, d - 1] == grid[:-1, d - 1]))
-        same[1:] &= here[1:] & here[:-1] & (grid[1:, d - 1] == grid[:-1, d - 1])
-        node[d] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        up = node[d - 1][at]
-        parents.append(up)
-        with np.errstate(over="ignore"):
-            own = prefix[d - 1][up] + tk.BYTE_CODE[grid[at, d - 1]] * p[d - 1]
-        prefix.append(own)
-        b, c = np.full(len(at), -np.inf), np.zeros(len(at), np.int32)
-        a = up
-        for k in range(1, min(v.longest, d) + 1):
-            with np.errstate(over="ignore"):
-                h = tk.mix((own - prefix[d - k][a]) * inv[d - k] + tk.U64(k))
-            i = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            s = np.where(v.hashes[i] == h, v.scores[i], BYTE_SCORE if k == 1 else -np.inf)
-            s = s + best[d - k][a]
-            better = s > b
-            b = np.where(better, s, b)
-            c = np.where(better, count[d - k][a] + 1, c)
-            if k < d:
-                a = parents[d - k][a]
-        best.append(b)
-        count.append(c)
-        done = size == d
-        tokens[done], score[done] = c[node[d][done]], b[node[d][done]]
-    out, lp = np.zeros(n, np.int64), np.zeros(n)
-    out[order], lp[order] = tokens, score
-    return out, lp
+    """Tokens and scores of distinct words. Of equal scores the shortest last piece wins; a byte that no piece covers is a token of BYTE_SCORE."""
+    tokens, score = np.zeros(len(words), np.int64), np.zeros(len(words))
+    best, count, last = [0.0], [0], b""  # of the prefixes of the last word
+    ends = v.ends.get
+    for i in sorted(range(len(words)), key=words.__getitem__):
+        w = words[i]
+        d = shared(last, w)
+        del best[d + 1 :], count[d + 1 :]
+        for e in range(d + 1, len(w) + 1):
+            s = ends(w[e - 1 : e])
+            top, n = best[e - 1] + (BYTE_SCORE if s is None or s == TAIL else s), count[e - 1]
+            k = e - 2
+            while s is not None and k >= 0:
+                s = ends(w[k:e])
+                if s is not None and s != TAIL and best[k] + s > top:
+                    top, n = best[k] + s, count[k]
+                k -= 1
+            best.append(top)
+            count.append(n + 1)
+        last = w
+        tokens[i], score[i] = count[len(w)], best[len(w)]
+    return tokens, score
 
 
 class Counter:
@@ -166,12 +114,7 @@ class Counter:
         if len(new):
             raw = buf.tobytes()
             words = [MARK + raw[starts[i] : ends[i]] for i in at[new]]
-            t, s = np.zeros(len(new), np.int64), np.zeros(len(new))
-            narrow = [i for i, w in enumerate(words) if len(w) <= WIDE]
-            t[narrow], s[narrow] = trie_counts([words[i] for i in narrow], self.v)
-            for i, w in enumerate(words):
-                if len(w) > WIDE:
-                    t[i], s[i] = one_by_one(w, self.v)
+            t, s = trie_counts(words, self.v)
             merged = np.concatenate([self.keys, keys[new]])
             order = np.argsort(merged, kind="stable")
             self.keys = merged[order]
