@@ -1,6 +1,6 @@
-"""Language identification by multinomial naive Bayes over hashed byte n-grams of the lower-cased text.
+"""Language identification by multinomial naive Bayes over hashed character n-grams of the lower-cased text.
 
-fit() counts the n-grams of at most TRAIN_ROWS labelled documents into 2**BITS buckets a language and keeps the matrix of
+A character is a code point. fit() counts the n-grams of at most TRAIN_ROWS labelled documents into 2**BITS buckets a language and keeps the matrix of
 log-probabilities (Laplace-smoothed), which is broadcast: its size is fixed by BITS and the number of languages, whatever
 the corpus has. score() counts each chunk's (document, bucket) pairs into a sparse matrix and multiplies.
 """
@@ -30,12 +30,19 @@ class Model:
     prior: np.ndarray
 
 
+def characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the rows' offsets in them."""
+    starts = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    return np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), starts[offs]
+
+
 def pairs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sparse count matrix of a chunk: rows, buckets, counts. N-grams don't cross rows; runs of blanks count as they are."""
-    rows, n = len(offs) - 1, len(buf)
+    points, offs = characters(buf, offs)
+    rows, n = len(offs) - 1, len(points)
     doc = np.repeat(np.arange(rows, dtype=np.int64), np.diff(offs))
     size = 1 << BITS
-    code = tk.BYTE_CODE[buf] | tk.U64(1)
+    code = tk.mix(points.astype(tk.U64) + tk.U64(1)) | tk.U64(1)
     keys = []
     h = np.zeros(n, tk.U64)
     for k in range(1, max(NGRAMS) + 1):

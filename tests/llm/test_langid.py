@@ -7,20 +7,34 @@ from parcelflow.llm import langid as L
 from parcelflow.llm import textkit as tk
 
 
+def buckets(t: str) -> Counter:
+    out = Counter()
+    for size in L.NGRAMS:
+        for i in range(len(t) - size + 1):
+            x = 0
+            for c in t.lower()[i : i + size]:
+                x = ((x + (int(tk.mix(ord(c) + 1)) | 1)) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+            out[x >> (64 - L.BITS)] += 1
+    return out
+
+
 def test_sparse_counts_against_brute_force():
-    texts = ["abcab", "", "é a", "aaaa" * 5]
+    texts = ["abcab", "", "é a", "aaaa" * 5, "日本語 ßé 🙂x"]
     low = tk.lowered(pa.array(texts))
     for _, _, buf, offs in tk.chunked(low):
         r, k, n = L.pairs(buf, offs)
         for row, t in enumerate(texts):
-            raw, want = t.encode(), Counter()
-            for size in L.NGRAMS:
-                for i in range(len(raw) - size + 1):
-                    x = 0
-                    for b in raw[i : i + size]:
-                        x = ((x + (int(tk.BYTE_CODE[b]) | 1)) * 0x9E3779B97F4A7C15) & (2**64 - 1)
-                    want[x >> (64 - L.BITS)] += 1
-            assert dict(zip(k[r == row].tolist(), n[r == row].tolist())) == want
+            assert dict(zip(k[r == row].tolist(), n[r == row].tolist())) == buckets(t)
+
+
+def test_fit_against_brute_force(spark):
+    rows = [(1, "Aé b", "x"), (2, "ab", "x"), (3, "日本 é", "y"), (4, None, "y"), (5, "zz", None), (6, "", "x")]
+    m = L.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert m.langs == ["x", "y"] and np.allclose(m.prior, np.log([2 / 3, 1 / 3]))
+    for c, texts in enumerate((["Aé b", "ab"], ["日本 é"])):
+        n = sum(map(buckets, texts), Counter())
+        total = sum(n.values()) + L.SMOOTHING * (1 << L.BITS)
+        assert np.allclose(m.log_prob[:, c], [np.log((n[b] + L.SMOOTHING) / total) for b in range(1 << L.BITS)], atol=1e-5)
 
 
 def test_held_out_accuracy(spark):
