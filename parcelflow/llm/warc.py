@@ -1,10 +1,11 @@
 """A content-addressed WARC archive.
 
 archive() parts raw records into `heads` (each record's exact header block, its payload's digest) and `payloads` (each
-distinct payload once, by SHA-256). Equal digests are verified: payloads that share one must have one length and one further,
-independent hash, the stored payload must hash to its digest, and a rebuilt record must hash to what the original record did.
-reconstruct() joins them to the original bytes. A payload crosses the network once: the grouping by digest and the joining by
-digest use the same partitioning.
+distinct payload once, by SHA-256). Equal digests are verified: all payloads that share one must be equal byte for byte (the least and the
+greatest of them are the same), the stored payload must hash to its digest, and a rebuilt record must hash to what the original record did.
+reconstruct() joins them to the original bytes. A payload crosses the network once, copies being put together before the shuffle: the
+grouping by digest and the joining by digest use the same partitioning. Heads of a digest with over HOT copies are spread
+over as many tasks as they need, and its payload is sent to each.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from parcelflow.llm import textkit as tk
 
 CRLF = "\r\n"
+#: Heads of one digest that one task joins at most.
+HOT = 10_000
 
 
 def header(url: Column, number: Column, length: Column) -> Column:
@@ -49,20 +52,27 @@ def split(raw: DataFrame) -> DataFrame:
 def archive(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """heads (page_id, head, tail, digest, record_digest), payloads (digest, payload, copies, verified).
 
-    raw has page_id and raw (binary); other columns are ignored. A null raw is left out. Equal records stay as many heads with one payload. verified: the stored payload hashes to the digest and all payloads of the digest agree in length and the second hash.
+    raw has page_id and raw (binary); other columns are ignored. A null raw is left out. Equal records stay as many heads with one payload. verified: the stored payload hashes to the digest and all payloads of the digest are equal.
     """
     whole = raw.where("raw is not null")
     parts = split(whole).withColumn("digest", F.sha2("payload", 256))
     heads = parts.select("page_id", "head", "tail", "digest", F.sha2(F.concat("head", "payload", "tail"), 256).alias("record_digest"))
-    own = F.struct(F.octet_length("payload"), F.xxhash64("payload"))
-    payloads = parts.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(own).alias("__low"), F.max(own).alias("__high"), F.count(F.lit(1)).alias("copies"))
-    payloads = payloads.select("digest", "payload", "copies", ((F.col("__low") == F.col("__high")) & (F.sha2("payload", 256) == F.col("digest"))).alias("verified"))
+    payloads = parts.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("__high"), F.count(F.lit(1)).alias("copies"))
+    payloads = payloads.select("digest", "payload", "copies", ((F.col("payload") == F.col("__high")) & (F.sha2("payload", 256) == F.col("digest"))).alias("verified"))
     return heads, payloads
 
 
 def reconstruct(heads: DataFrame, payloads: DataFrame) -> DataFrame:
     """page_id, raw, digest, payload_bytes, copies, intact: the original records, one for each head. intact: the payload is verified and the record hashes to what was archived."""
-    j = heads.join(payloads, "digest")
+    hot = tk.checkpointed(heads.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("digest", F.ceil(F.col("n") / HOT).alias("__tasks")))
+    if hot.isEmpty():
+        j = heads.join(payloads, "digest")
+    else:
+        last = F.col("__tasks") - 1
+        sent = payloads.join(hot, "digest").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        spread = heads.join(hot, "digest").withColumn("__part", F.pmod(F.xxhash64("page_id", "record_digest", F.monotonically_increasing_id()), F.col("__tasks")))
+        names = ["head", "tail", "digest", "record_digest", "page_id", "payload", "copies", "verified"]
+        j = heads.join(hot, "digest", "left_anti").join(payloads, "digest").select(*names).union(spread.join(sent, ["digest", "__part"]).select(*names))
     raw = F.concat("head", "payload", "tail")
     return j.select("page_id", raw.alias("raw"), "digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "copies", (F.col("verified") & (F.sha2(raw, 256) == F.col("record_digest"))).alias("intact"))
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelflow.llm import warc as W
@@ -17,7 +18,9 @@ def raw_records():
     ]
 
 
-def test_exact_round_trip_and_single_payloads(spark):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_exact_round_trip_and_single_payloads(spark, hot, monkeypatch):
+    monkeypatch.setattr(W, "HOT", hot)
     rows = raw_records()
     df = spark.createDataFrame(rows, "page_id bigint, raw binary").withColumn("digest", F.lit("clash")).withColumn("payload", F.lit("clash"))
     heads, payloads = W.archive(df)
@@ -37,6 +40,12 @@ def test_a_damaged_payload_is_seen(spark):
     assert {r["page_id"]: r["intact"] for r in W.reconstruct(heads, bad).collect()} == {1: False, 2: False, 3: True}
 
 
+def test_payloads_of_one_digest_are_compared_byte_for_byte(spark, monkeypatch):
+    monkeypatch.setattr(W.F, "sha2", lambda c, n: F.lit("same"))  # as if all collided
+    _, payloads = W.archive(spark.createDataFrame(raw_records()[:3], "page_id bigint, raw binary"))
+    assert [(r["copies"], r["verified"]) for r in payloads.collect()] == [(3, False)]
+
+
 def test_payload_crosses_once(spark):
     df = spark.createDataFrame(raw_records(), "page_id bigint, raw binary")
     plan = W.reconstruct(*W.archive(df))._jdf.queryExecution().executedPlan().toString()
