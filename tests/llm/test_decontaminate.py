@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -51,28 +52,32 @@ def test_recall_and_exact_values(seed):
     assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
 
 
-def test_without_the_radius_nothing_is_missed():
+def test_without_the_radius_nothing_is_missed(monkeypatch):
     docs, items = corpus(7)
-    ix = D.build(items)
-    for k, (item, n, c, w, fp) in enumerate(ix.items):
-        for b in range(D.BLOCKS):
-            for v in range(256):
-                ix.blocks.setdefault((n, b, v), [])
-                if k not in ix.blocks[n, b, v]:
-                    ix.blocks[n, b, v].append(k)
-    got = {(r, i): (s, a, b) for r, i, a, b, s, d in D.scan(pa.array(docs), ix, radius=64)}
+    monkeypatch.setattr(D, "SPAN", 30)
+    got = {(r, i): (s, a, b) for r, i, a, b, s, d in D.scan(pa.array(docs), D.build(items), radius=D.BITS)}
     assert got == brute(docs, items)
 
 
-def test_blocks_guarantee_the_radius():
-    r = random.Random(1)
-    ix = D.build([(0, " ".join(f"w{k}" for k in range(20)))])
-    _, n, _, _, fp = ix.items[0]
-    for _ in range(300):
-        x = fp
-        for b in r.sample(range(64), r.randrange(0, D.RADIUS + 1)):
-            x ^= 1 << b
-        assert any(0 in ix.blocks.get((n, b, (x >> (8 * b)) & 255), ()) for b in range(D.BLOCKS))
+def test_blocks_guarantee_the_radius_and_leave_few_others():
+    r = np.random.default_rng(1)
+    fp = r.integers(0, 1 << 32, (1, D.BLOCKS), np.uint32)
+    flips = np.zeros((2000, D.BITS), np.uint8)
+    for row in flips:
+        row[r.choice(D.BITS, r.integers(0, D.RADIUS + 1), replace=False)] = 1
+    near = fp ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint32)
+    d = D.distances(fp, near)[0]
+    assert (d.sum(1) == flips.sum(1)).all() and (d <= D.RADIUS // D.BLOCKS).any(1).all()
+    other = r.integers(0, 1 << 32, (20_000, D.BLOCKS), np.uint32)
+    assert (D.distances(fp, other)[0] <= D.RADIUS // D.BLOCKS).any(1).mean() < 0.05
+
+
+def test_fingerprints_of_windows_are_those_of_their_texts():
+    text = " ".join(f"w{k % 37}" for k in range(200))
+    ix = D.build([(0, text), (1, " ".join(text.split()[20:60]))])
+    two = next(f for _, _, f in D._bigrams(pa.array([text])))
+    (own, fps), = D._fingerprints([(40, 20, 60), (40, 25, 65)], two, ix)
+    assert own[0] == (40, 20, 60) and (fps[0] == ix.items[1][4]).all() and not (fps[1] == fps[0]).all()
 
 
 def test_exact_copies_are_always_found(spark):
