@@ -58,9 +58,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("length", [8, 20])
-@pytest.mark.parametrize("limit", [0, 10**7])
+@pytest.mark.parametrize("limit", [1, 4, 10**7])
 def test_against_brute_force(spark, length, limit, monkeypatch):
-    monkeypatch.setattr(S, "BROADCAST_ANCHORS", limit)
+    monkeypatch.setattr(S, "HOT", limit)
     rows = corpus(length)
     want = brute(rows, length)
     assert want and found(spark.createDataFrame(rows, "doc_id bigint, text string"), length) == want
@@ -70,16 +70,23 @@ def test_equal_windows_share_an_anchor():
     r = random.Random(4)
     w = [f"w{r.randrange(40)}" for _ in range(400)]
     h = np.array(tk.word_hash(*w), np.uint64)
-    at, _ = S.anchors(h, np.array([0, 400]), 20)
+    p, at, g = S.anchors(h, np.array([0, 400]), 20)
+    assert p.tolist() == list(range(381)) and all(g[a] == g[x : x + 11].min() and x <= a <= x + 10 for x, a in zip(p, at))
     for s in range(0, 381, 3):
         other = np.concatenate([h[::-1][:50], h[s : s + 20], h[100:120]])
-        there, _ = S.anchors(other, np.array([0, len(other)]), 20)
-        assert {x - s for x in at if s <= x <= s + 10} & {x - 50 for x in there if 50 <= x <= 60}
+        _, there, _ = S.anchors(other, np.array([0, len(other)]), 20)
+        assert there[50] - 50 == at[s] - s
+
+
+def test_windows_stay_inside_rows():
+    h = tk.mix(np.arange(100, dtype=np.uint64))
+    p, at, _ = S.anchors(h, np.array([0, 10, 10, 45, 100]), 20)
+    assert p.tolist() == [*range(10, 26), *range(45, 81)]
 
 
 def test_fewer_anchors_than_tokens():
     h = tk.mix(np.arange(20_000, dtype=np.uint64))
-    assert len(S.anchors(h, np.array([0, 20_000]))[0]) < 20_000 / 10
+    assert len(np.unique(S.anchors(h, np.array([0, 20_000]))[1])) < 20_000 / 10
 
 
 def test_odd_rows(spark, odd, empty):
