@@ -16,4 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op5_ngram_jaccard_join": jaccard.SQL, "op8_warc": warc.SQL, "op10_suffix_array_dedup": suffixdedup.SQL}
+SQL: dict[str, str] = {
+    "op3_quality_rules": quality.SQL, "op5_ngram_jaccard_join": jaccard.SQL, "op6_token_counts": tokencount.sql(), "op7_language_id": langid.SQL, "op8_warc": warc.SQL, "op10_suffix_array_dedup": suffixdedup.SQL,
+}

@@ -24,8 +24,10 @@ from parcelflow.llm import textkit as tk
 
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁".encode()
-#: Log-probability of a single byte that no piece covers.
-BYTE_SCORE = -20.0
+#: Scores are whole numbers of so many to a nat, so that sums are exact in any order.
+UNIT = 1_000_000
+#: Score of a single byte that no piece covers.
+BYTE_SCORE = -20 * UNIT
 
 SCHEMA = "doc_id bigint, n_pretokens bigint, n_tokens bigint, log_prob double"
 
@@ -49,7 +51,7 @@ def load(path: str = VOCABULARY) -> Pieces:
     own = [(sp.id_to_piece(i).encode(), sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     own.sort(key=lambda x: (-x[1], x[0]))
     norm = math.log(sum(1 / (r + 2.7) for r in range(len(own))))
-    return pieces({p: round(-math.log(r + 2.7) - norm, 6) for r, (p, _) in enumerate(own)})
+    return pieces({p: round(UNIT * (-math.log(r + 2.7) - norm)) for r, (p, _) in enumerate(own)})
 
 
 def pieces(scores: dict[bytes, float]) -> Pieces:
@@ -68,7 +70,7 @@ def shared(a: bytes, b: bytes) -> int:
 def trie_counts(words: list[bytes], v: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and scores of distinct words. Of equal scores the shortest last piece wins; a byte that no piece covers is a token of BYTE_SCORE."""
     tokens, score = np.zeros(len(words), np.int64), np.zeros(len(words))
-    best, count, last = [0.0], [0], b""  # of the prefixes of the last word
+    best, count, last = [0], [0], b""  # of the prefixes of the last word
     ends = v.ends.get
     for i in sorted(range(len(words)), key=words.__getitem__):
         w = words[i]
@@ -134,10 +136,34 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for b in batches:
             for i, j, buf, offs in tk.plain_chunks(b.column("text")):
                 n, t, s = c.of(buf, offs)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i), "n_pretokens": n, "n_tokens": t, "log_prob": np.round(s.astype(float), 3)})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i), "n_pretokens": n, "n_tokens": t, "log_prob": s / UNIT})
 
     return tk.texts_of(docs).mapInArrow(run, SCHEMA)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(tk.table(spark, sf_dir, "documents"))
+
+
+def sql(vocabulary: str = VOCABULARY) -> str:
+    """The same in DuckDB, over the same vocabulary: the recurrence runs over characters, as every piece is whole characters; a character that no piece covers is its bytes."""
+    own = {p.decode(): s for p, s in load(vocabulary).ends.items() if s != TAIL}
+    longest = max(map(len, own))
+    rows = "\n".join(f"{s}\t{p}" for p, s in own.items()).replace("'", "''")
+    mark = MARK.decode()
+    return rf"""
+with recursive v as (select string_split(x, chr(9))[2] as p, string_split(x, chr(9))[1]::bigint as s from (select unnest(string_split('{rows}', chr(10))) as x))
+, d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents)
+, t as (select r, w, count(*) as n from (select r, unnest(string_split_regex(text, '[\t\n\x0b\f\r ]+')) as w from d) where w <> '' group by all)
+, w as (select w, '{mark}' || w as m, length(w) + 1 as size from (select distinct w from t))
+, e as (select w, m, size, unnest(range(1, size + 1)) as e from w)
+, c as (select w, e, k, substring(m, e - k + 1, k) as p from (select *, unnest(range(1, least(e, {longest}) + 1)) as k from e))
+, f as (select c.w, c.e, k, v.s, 1 as t from c join v using (p) union all select c.w, c.e, 1, {BYTE_SCORE} * strlen(p), strlen(p) from c anti join v using (p) where k = 1)
+, g as (select w, e, list({{'k': k, 's': s, 't': t}}) as ends from f group by w, e)
+, dp as (select w, size, 0 as done, [0::bigint] as best, [0::bigint] as cnt from w
+  union all select w, size, done + 1, list_append(best[-{longest}:], x.s), list_append(cnt[-{longest}:], x.c)
+  from (select dp.w, dp.size, done, best, cnt, list_sort(list_transform(ends, lambda y: {{'s': best[-y.k] + y.s, 'k': -y.k, 'c': cnt[-y.k] + y.t}}), 'DESC')[1] as x from dp join g on g.w = dp.w and g.e = dp.done + 1))
+, z as (select w, best[-1] as s, cnt[-1] as c from dp where done = size)
+, q as (select r, sum(n) as n, sum(n * c) as c, sum(n * s) as s from t join z using (w) group by r)
+select doc_id, coalesce(n, 0)::bigint as n_pretokens, coalesce(c, 0)::bigint as n_tokens, coalesce(s, 0)::double / {UNIT} as log_prob from d left join q using (r)
+"""

@@ -30,11 +30,11 @@ def test_sparse_counts_against_brute_force():
 def test_fit_against_brute_force(spark):
     rows = [(1, "Aé b", "x"), (2, "ab", "x"), (3, "日本 é", "y"), (4, None, "y"), (5, "zz", None), (6, "", "x")]
     m = L.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    assert m.langs == ["x", "y"] and np.allclose(m.prior, np.log([2 / 3, 1 / 3]))
+    assert m.langs == ["x", "y"] and np.allclose(m.prior / L.UNIT, np.log([2 / 3, 1 / 3]), atol=1e-5)
     for c, texts in enumerate((["Aé b", "ab"], ["日本 é"])):
         n = sum(map(buckets, texts), Counter())
         total = sum(n.values()) + L.SMOOTHING * (1 << L.BITS)
-        assert np.allclose(m.log_prob[:, c], [np.log((n[b] + L.SMOOTHING) / total) for b in range(1 << L.BITS)], atol=1e-5)
+        assert np.allclose(m.log_prob[:, c] / L.UNIT, [np.log((n[b] + L.SMOOTHING) / total) for b in range(1 << L.BITS)], atol=1e-5)
 
 
 def test_held_out_accuracy(spark):
@@ -61,11 +61,20 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_scores_are_those_of_the_formula():
-    m = L.Model(["a", "b"], np.log(np.random.default_rng(0).dirichlet(np.ones(1 << L.BITS), 2).T).astype(np.float32), np.log([0.3, 0.7]))
+    p = np.log(np.random.default_rng(0).dirichlet(np.ones(1 << L.BITS), 2).T)
+    m = L.Model(["a", "b"], np.rint(p * L.UNIT).astype(np.int32), np.rint(np.log([0.3, 0.7]) * L.UNIT))
     text = pa.array(["some text here", None])
     low = tk.lowered(text)
     _, _, buf, offs = next(iter(tk.chunked(low)))
     r, k, n = L.pairs(buf, offs)
     want = [float((m.log_prob[k[r == 0], c].astype(float) * n[r == 0]).sum() + m.prior[c]) for c in (0, 1)]
     out = L.predict(text, m)
-    assert out[1].to_pylist() == [m.langs[int(np.argmax(want))], None] and abs(out[2][0].as_py() - max(want)) < 1e-2
+    assert out[1].to_pylist() == [m.langs[int(np.argmax(want))], None] and out[2][0].as_py() == max(want) / L.UNIT
+
+
+def test_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert sorted(map(tuple, L.op7_language_id(spark, sf).collect()), key=repr) == sorted(con.sql(L.SQL).fetchall(), key=repr)

@@ -95,4 +95,14 @@ def test_memory_bound_changes_nothing():
 
 def test_scores_are_log_probabilities():
     v = T.load()
-    assert abs(sum(map(math.exp, of(v).values())) - 1) < 1e-3
+    assert abs(sum(math.exp(s / T.UNIT) for s in of(v).values()) - 1) < 1e-3
+
+
+def test_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(T.sql()).fetchall()
+    got = T.op6_token_counts(spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) >= 200
