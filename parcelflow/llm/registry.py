@@ -16,6 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {
-    "op3_quality_rules": quality.SQL, "op5_ngram_jaccard_join": jaccard.SQL, "op6_token_counts": tokencount.sql(), "op7_language_id": langid.SQL, "op8_warc": warc.SQL, "op10_suffix_array_dedup": suffixdedup.SQL,
-}
+#: What needs no file; sql() has the rest too.
+SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op5_ngram_jaccard_join": jaccard.SQL, "op7_language_id": langid.SQL, "op8_warc": warc.SQL, "op10_suffix_array_dedup": suffixdedup.SQL}
+
+
+def sql() -> dict[str, str]:
+    """All SQL; that of op6 holds the vocabulary, which is read here."""
+    return {**SQL, "op6_token_counts": tokencount.sql()}
