@@ -16,14 +16,12 @@ def parse_answer(text: Column) -> Column:
 
 
 def key_value_lines(text: Column) -> Column:
-    """MAP<STRING, VARIANT> of lines `words: value` or `words - value`; keys in lower case, blanks as underscores."""
-    pattern = r"(?U)^([\w\s]+)[:\-]\s*(.*)$"
-    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(pattern))
-    key = lambda s: F.replace(F.lower(F.trim(F.regexp_extract(s, pattern, 1))), F.lit(" "), F.lit("_"))
-    pairs = F.transform(lines, lambda s: F.struct(key(s).alias("key"), F.trim(F.regexp_extract(s, pattern, 2)).cast("variant").alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), p["key"]))
-    return F.map_from_entries(last)
+    """MAP<STRING, VARIANT> of lines `words: value` or `words - value`; keys in lower case, blanks as underscores; of equal keys the last counts. Two passes over the text, whatever its lines."""
+    pattern = r"(?mU)^([\w\s&&[^\n\r]]+)[:\-][\s&&[^\n\r]]*(.*)$"
+    key = lambda k: F.replace(F.lower(F.trim(k)), F.lit(" "), F.lit("_"))
+    found = F.struct(F.reverse(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), key)).alias("k"), F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(2))).alias("v"))
+    last = lambda s: F.transform(F.array_distinct(s["k"]), lambda k: F.trim(F.element_at(s["v"], F.array_position(s["k"], k).cast("int"))).cast("variant"))
+    return F.transform(F.array(found), lambda s: F.map_from_arrays(F.array_distinct(s["k"]), last(s)))[0]  # the struct is computed once, not for each key
 
 
 def prefixed(answer: Column, prefix: str) -> Column:
@@ -61,12 +59,19 @@ def shortened(s: Column, keep: int) -> Column:
     return F.when(F.length(s) > keep + 3, F.concat(F.substring(s, 1, keep), F.lit("..."))).otherwise(s)
 
 
+KINDS = {"jpg": "jpeg", "jpeg": "jpeg", "png": "png", "webp": "webp", "gif": "gif", "bmp": "bmp", "tif": "tiff", "tiff": "tiff"}
+
+
+def mime_of(path: str) -> str:
+    """What mime gives, outside of a plan."""
+    return f"image/{KINDS.get(path.rpartition('.')[2].lower(), 'jpeg')}"
+
+
 def mime(path: Column) -> Column:
     """By extension; JPEG for unknown ones."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
-    kinds = {"jpg": "jpeg", "jpeg": "jpeg", "png": "png", "webp": "webp", "gif": "gif", "bmp": "bmp", "tif": "tiff", "tiff": "tiff"}
     out = F.lit("image/jpeg")
-    for e, k in kinds.items():
+    for e, k in KINDS.items():
         out = F.when(ext == e, f"image/{k}").otherwise(out)
     return out
 

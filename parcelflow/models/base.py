@@ -1,11 +1,13 @@
-"""Models behind one interface. Backends run inside the workers, one a process; nothing here opens a network connection or reads credentials."""
+"""Models behind one interface. Backends run inside the workers, one a process. A backend answers single requests, several at once in threads, or whole batches if it has run_batch of its own."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -21,6 +23,11 @@ class ModelOutput:
     raw: object = None
 
 
+Request = tuple[list[str], str]
+#: Threads of one task at most.
+MOST_THREADS = 10
+
+
 class Backend:
     """One model. run gives None where it fails; an exception counts as a failure of that request."""
 
@@ -29,6 +36,60 @@ class Backend:
     def run(self, images: list[str], prompt: str, **options) -> ModelOutput | None:
         raise NotImplementedError
 
+    def run_batch(self, requests: list[Request], threads: int = 1) -> list[tuple[ModelOutput | None, str | None]]:
+        """(output, error) of each request, in their order. Models that take a batch at once override this."""
+        with ThreadPoolExecutor(max(1, min(threads, len(requests), MOST_THREADS))) as pool:
+            return list(pool.map(self._safely, requests))
+
+    def _safely(self, request: Request) -> tuple[ModelOutput | None, str | None]:
+        try:
+            return self.run(*request), None
+        except Exception as e:  # noqa: BLE001 - a row's failure is its result
+            return None, f"{type(e).__name__}: {e}"
+
+
+class BatchBackend(Backend):
+    """A model that answers a whole batch in one call: answer gets the requests and gives as many outputs, None where it fails. A failed call fails its batch."""
+
+    name = "batch"
+
+    def __init__(self, answer: Callable[[list[Request]], list[ModelOutput | None]]):
+        self.answer = answer
+
+    def run(self, images: list[str], prompt: str, **options) -> ModelOutput | None:
+        return self.answer([(images, prompt)])[0]
+
+    def run_batch(self, requests: list[Request], threads: int = 1) -> list[tuple[ModelOutput | None, str | None]]:
+        try:
+            got = self.answer(requests)
+            if len(got) != len(requests):
+                raise ValueError(f"{len(got)} answers to {len(requests)} requests")
+            return [(r, None) for r in got]
+        except Exception as e:  # noqa: BLE001 - a batch's failure is its rows' result
+            return [(None, f"{type(e).__name__}: {e}")] * len(requests)
+
+
+class Cooling(Backend):
+    """Another backend's requests, each failure followed by a wait of base times the failures in a row, in all threads of the task together; a success ends it."""
+
+    def __init__(self, backend: Backend, base: float, sleep: Callable[[float], None] = time.sleep):
+        self.backend, self.name, self.base, self.sleep = backend, backend.name, base, sleep
+        self.errors, self.until, self.lock = 0, 0.0, threading.Lock()
+
+    def run(self, images: list[str], prompt: str, **options) -> ModelOutput | None:
+        with self.lock:
+            wait = self.until - time.monotonic()
+        if wait > 0:
+            self.sleep(wait)
+        out = None
+        try:
+            out = self.backend.run(images, prompt, **options)
+            return out
+        finally:
+            with self.lock:
+                self.errors = 0 if out is not None else self.errors + 1
+                self.until = time.monotonic() + self.base * self.errors if self.errors else 0.0
+
 
 class StubBackend(Backend):
     """Deterministic answers without a model: for tests and dry runs."""
@@ -66,25 +127,17 @@ def with_retry(call: Callable[[], object], tries: int = 5, base: float = 0.5, sl
             sleep(base * 2**k)
 
 
-def infer(df: DataFrame, backend: Callable[[], Backend], prompt: str, key: str = "id", images: str = "paths", batch: int = 4, most_images: int | None = None, cooldown: float = 0.0) -> DataFrame:
-    """key, status (ok or failed), text, boxes, error: the model's answer for each row. Each task makes one backend; consecutive failures wait cooldown times their number. Rows never raise."""
+def infer(df: DataFrame, backend: Callable[[], Backend], prompt: str, key: str = "id", images: str = "paths", batch: int = 4, most_images: int | None = None, cooldown: float = 0.0, threads: int = 1) -> DataFrame:
+    """key, status (ok or failed), text, boxes, masks, error: the model's answer for each row. Each task makes one backend and hands it `batch` requests at a time, of which up to `threads` run at once; after failures it waits cooldown times their number in a row. Rows never raise."""
     text = resolve_text(prompt)
 
     def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, errors = backend(), 0
+        model = Cooling(backend(), cooldown) if cooldown else backend()
         for pdf in it:
             for at in range(0, len(pdf), batch):
-                out = []
-                for k, paths in pdf.iloc[at : at + batch][[key, images]].itertuples(index=False):
-                    paths = list(paths) if paths is not None else []
-                    try:
-                        r, error = model.run(paths[:most_images], text), None
-                    except Exception as e:  # noqa: BLE001 - a row's failure is its result
-                        r, error = None, f"{type(e).__name__}: {e}"
-                    errors = 0 if r is not None else errors + 1
-                    if errors and cooldown:
-                        time.sleep(cooldown * errors)
-                    out.append((k, "ok" if r is not None else "failed", r.text if r else None, json.dumps(r.boxes) if r else None, error))
-                yield pd.DataFrame(out, columns=[key, "status", "text", "boxes", "error"])
-
-    return df.select(key, images).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, status string, text string, boxes string, error string")
+                part = pdf.iloc[at : at + batch]
+                got = model.run_batch([((list(p) if p is not None else [])[:most_images], text) for p in part[images]], threads)
+                out = [(k, "ok" if r is not None else "failed", r.text if r else None, json.dumps(r.boxes) if r else None, json.dumps(r.masks) if r else None, e) for k, (r, e) in zip(part[key], got)]
+                yield pd.DataFrame(out, columns=[key, "status", "text", "boxes", "masks", "error"])
+
+    return df.select(key, images).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, status string, text string, boxes string, masks string, error string")

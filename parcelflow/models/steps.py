@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import attrs as A
 from parcelflow.functions import text as X
 from parcelflow.models.base import Backend, infer
-from parcelflow.operators.graph import cut
+from parcelflow.session import cut
 
 
 def asset_images(assets: DataFrame, images: DataFrame) -> DataFrame:
@@ -42,6 +42,19 @@ def segment(assets: DataFrame, images: DataFrame, backend: Callable[[], Backend]
     return got.select(k.asset_id.alias("asset_id"), k.id.alias("image_id"), F.posexplode(F.from_json("boxes", "array<array<double>>")).alias("n", "box"))
 
 
+def mask_rows(assets: DataFrame, images: DataFrame, backend: Callable[[], Backend], prompts: list[str] | str, batch: int = 4) -> DataFrame:
+    """images with segment_boxes, segment_masks (as the model gives them) and ai_model_used among their properties, where the model answered. Answers are written once."""
+    prompt = prompts if isinstance(prompts, str) else ". ".join(prompts)
+    todo = images.join(assets.select(F.col("id").alias("asset_id")), "asset_id", "left_semi").select(F.to_json(F.struct("asset_id", "id")).alias("key"), F.array("path").alias("paths"))
+    got = cut(infer(todo, backend, prompt, key="key", batch=batch)).where("status = 'ok'")
+    k = F.from_json("key", "asset_id string, id string")
+    found = F.map_from_arrays(F.array(*map(F.lit, ("segment_boxes", "segment_masks", "ai_model_used"))), F.array(F.parse_json("boxes"), F.parse_json("masks"), F.lit(backend().name).cast("variant")))
+    new = got.select(k.asset_id.alias("asset_id"), k.id.cast(dict(images.dtypes)["id"]).alias("id"), found.alias("__new"))
+    old = F.coalesce("props", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(F.col("__new"), k)), F.col("__new"))
+    return images.join(new, ["asset_id", "id"], "left").withColumn("props", F.when(F.col("__new").isNull(), F.col("props")).otherwise(merged)).select(*images.columns)
+
+
 def map_labels(assets: DataFrame, backend: Callable[[], Backend], prompt: str, valid: list[str]) -> DataFrame:
     """asset_type, labels of each type that assets have; failures give none."""
     types = assets.select(A.asset_type(F.col("attrs")).alias("asset_type")).where("asset_type is not null").distinct()

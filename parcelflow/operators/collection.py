@@ -98,3 +98,74 @@ def crop_window(bearings: DataFrame, width: int, margin: float = 5.0) -> DataFra
     start, end = F.col("after") + F.col("gap") - margin, F.col("after") + margin
     px = lambda a: F.floor(F.pmod(a + 180.0, F.lit(360.0)) / 360.0 * width)
     return g.select("key", px(start.cast("double")).alias("left"), px(end.cast("double")).alias("right"))
+
+
+def content_rows(rows: DataFrame, key: str, row: str, content: Column, vehicle: Column) -> DataFrame:
+    """key, first_content, first_vehicle: the first row of each picture that has content, and that has the survey vehicle."""
+    return rows.groupBy(key).agg(F.min(F.when(content, F.col(row))).alias("first_content"), F.min(F.when(vehicle, F.col(row))).alias("first_vehicle"))
+
+
+def crop_rows(height: Column, first_content: Column, first_vehicle: Column, sky: float = 0.25, padding: float = 0.01) -> tuple[Column, Column]:
+    """top, bottom of a panorama's crop: the sky's share goes, and what is above the first content row less the padding if that is more; the vehicle's rows go. Without content, or where top would be at bottom or below, only the sky goes."""
+    base, pad = F.floor(height * sky), F.floor(height * padding)
+    top = F.greatest(base, F.greatest(F.lit(0), first_content - pad))
+    bottom = F.when(first_vehicle.isNotNull(), F.greatest(F.lit(0), first_vehicle - pad)).otherwise(height)
+    smart = first_content.isNotNull() & (top < bottom)
+    return F.when(smart, top).otherwise(base), F.when(smart, bottom).otherwise(height)
+
+
+def largest_part(parts: DataFrame, key: str, part: str, area: Column, order: str) -> DataFrame:
+    """key, part of largest area; of equal ones the first."""
+    return parts.groupBy(key).agg(F.max_by(part, F.struct(area, -F.col(order))).alias(part))
+
+
+def distinct_types(df: DataFrame) -> DataFrame:
+    """The asset types that there are."""
+    return df.select(A.asset_type(F.col("attrs")).alias("asset_type")).where("asset_type is not null").distinct()
+
+
+def least_area(df: DataFrame, more_than: float) -> DataFrame:
+    """df with the area of its boxes, of those with more."""
+    return df.withColumn("area", boxes.area(boxes.box())).where(F.col("area") > more_than)
+
+
+def scatter(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Rows with the model's results for them, joined by key; rows without a result are out."""
+    return rows.join(results, key)
+
+
+def map_labels(df: DataFrame, mapping: dict[str, str], column: str = "asset_type") -> DataFrame:
+    """df with a column `label` from the caller's mapping, null for what it doesn't have. The mapping becomes an expression: no join."""
+    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
+    return df.withColumn("label", F.try_element_at(F.create_map(*pairs), F.col(column)) if pairs else F.lit(None).cast("string"))
+
+
+def first_of(df: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The first `most` rows of each key."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__n") <= most).drop("__n")
+
+
+def largest_first(df: DataFrame, key: str, area: Column, order: str) -> DataFrame:
+    """df with place, from 1, by area within the key, largest first."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(area.desc(), order)))
+
+
+def joined_prompts(df: DataFrame, key: str, label: str) -> DataFrame:
+    """key, prompt: its labels, each once and in order, as one prompt."""
+    return df.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(label)), ". ").alias("prompt"))
+
+
+def approx_width(least: float = 10.0) -> Column:
+    """A road's width from its box: twice the area by the perimeter."""
+    b = boxes.box()
+    return F.greatest(F.lit(least), F.round(2 * boxes.area(b) / (2.0 * (boxes.width(b) + boxes.height(b))), 6))
+
+
+def summary_text(df: DataFrame, image_count: Column | None = None) -> str:
+    """The summary as lines of text: assets, images, bounds, and a line for each type, most frequent first. Only one row a type comes to the driver."""
+    rows = sorted(summary(df, image_count).collect(), key=lambda r: (r["asset_type"] is not None, -r["assets"], r["asset_type"] or ""))
+    if not rows or not rows[0]["assets"]:
+        return "empty collection"
+    t = rows[0]
+    lines = [f"assets: {t['assets']}", f"images: {t['images']}", f"bounds: ({t['minx']}, {t['miny']}) to ({t['maxx']}, {t['maxy']})"]
+    return "\n".join(lines + [f"  {r['asset_type']}: {r['assets']} assets, {r['images']} images" for r in rows[1:]])

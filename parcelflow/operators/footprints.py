@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -75,12 +76,47 @@ def filter_by_polygon(df: DataFrame, search: list[tuple[float, float]], predicat
     return x.select(*df.columns).mapInPandas(run, df.schema)
 
 
+def shaped(df: DataFrame, work: Callable[[P.Region], P.Region]) -> DataFrame:
+    """df with what a kernel makes of each row's rings."""
+
+    def run(it):
+        for pdf in it:
+            yield pdf.assign(rings=[rings(work(region(r))) for r in pdf["rings"]])
+
+    return df.mapInPandas(run, df.schema)
+
+
 def buffered(df: DataFrame, d: float) -> DataFrame:
     """rings grown (or shrunk) by d."""
+    return shaped(df, lambda g: P.buffer(g, d))
+
+
+def hulls(df: DataFrame) -> DataFrame:
+    """rings as their convex hull; without area as they are."""
+
+    def hull(g: P.Region) -> P.Region:
+        h = P.convex_hull(np.concatenate(g)) if g else []
+        return [h] if len(h) > 2 else g
+
+    return shaped(df, hull)
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """rings without holes."""
+    return shaped(df, P.fill_holes)
+
+
+def closed(df: DataFrame, d: float) -> DataFrame:
+    """rings with gaps under 2 d bridged."""
+    return shaped(df, lambda g: P.close_gaps(g, d))
+
+
+def cut_by_walls(df: DataFrame, other: str = "other") -> DataFrame:
+    """rings cut along the longest wall of the polygon in the column `other` that they touch; the rest of df stays."""
 
     def run(it):
         for pdf in it:
-            yield pdf.assign(rings=[rings(P.buffer(region(r), d)) for r in pdf["rings"]])
+            yield pdf.assign(rings=[rings(P.wall_cut(region(r), region(o))) for r, o in zip(pdf["rings"], pdf[other])])
 
     return df.mapInPandas(run, df.schema)
 

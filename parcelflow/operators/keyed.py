@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parcelflow.session import cut
+
 
 def keep_first(df: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     """Of rows with the same key the first. An aggregation with partial results, not a window: a hot key is no hot task."""
@@ -17,16 +19,24 @@ def keep_first(df: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     return first.select(key, "__r.*").select(*df.columns)
 
 
+#: Keys of a caller's list that are broadcast at most; a longer list is joined by shuffle.
+BROADCAST_KEYS = 100_000
+
+
+def _asked(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_KEYS else df
+
+
 def get(df: DataFrame, keys: list, key: str = "id") -> DataFrame:
     """A row for each asked key, in order, repeated ones too; place is the request's number; other columns are null for keys that aren't there."""
     ask = df.sparkSession.createDataFrame(list(enumerate(keys)), f"place bigint, __k {dict(df.dtypes)[key]}")
-    return F.broadcast(ask).join(df, F.col("__k") == F.col(key), "left").drop(key).withColumnRenamed("__k", key)
+    return _asked(ask, len(keys)).join(df, F.col("__k") == F.col(key), "left").drop(key).withColumnRenamed("__k", key)
 
 
 def numbered(df: DataFrame, order: str = "ord") -> DataFrame:
-    """df with `at`, the row's number from 0. Numbers come from a count of each range partition, so no task holds all rows."""
+    """df with `at`, the row's number from 0. Rows are written in range partitions once; numbers come from a count of each, so no task holds all rows."""
     spark = df.sparkSession
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()))
     w = Window.partitionBy("__p").orderBy(order)
     local = parts.withColumn("__n", F.row_number().over(w) - 1)
     counts = sorted((r["__p"], r["count"]) for r in parts.groupBy("__p").count().collect())  # as many rows as partitions
@@ -65,7 +75,7 @@ def sliced(df: DataFrame, start: int | None, stop: int | None, step: int | None
 def subset(df: DataFrame, indices: list[int], order: str = "ord") -> DataFrame:
     """Rows by number, in the asked order, repeated ones too."""
     ask = df.sparkSession.createDataFrame(list(enumerate(indices)), "place bigint, at bigint")
-    return F.broadcast(ask).join(numbered(df, order), "at")
+    return _asked(ask, len(indices)).join(numbered(df, order), "at")
 
 
 def add(df: DataFrame, new: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
@@ -116,4 +126,4 @@ def find_images(have: DataFrame, names: list[str], file: Column) -> DataFrame:
     ask = have.sparkSession.createDataFrame(list(enumerate(names)), "place bigint, __name string")
     both = have.select("*", F.explode(F.array_distinct(F.array(F.col("id"), file))).alias("__name"))
     w = Window.partitionBy("asset_id", "place").orderBy(F.desc("ord"))
-    return both.join(F.broadcast(ask), "__name").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__name")
+    return both.join(_asked(ask, len(names)), "__name").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__name")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from parcelflow.functions import boxes, geo
 from parcelflow.functions.boxes import Box
+from parcelflow.session import cut
 
 
 def _cells(df: DataFrame, b: Box, size: float) -> DataFrame:
@@ -36,10 +37,10 @@ def extent_join(assets: DataFrame, extents: DataFrame, size: float, prefix: str
     return box_join(assets, extents, size, left_prefix="", right_prefix=prefix)
 
 
-def radius_join(points: DataFrame, targets: DataFrame, radius: float, point_id: str, target_id: str) -> DataFrame:
-    """target, point, d2: pairs at most radius apart. Both have x, y in plane units; cells are as wide as the radius."""
+def radius_join(points: DataFrame, targets: DataFrame, radius: float, point_id: str, target_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """target, point, d2: pairs at most radius apart. Both have x, y in plane units; cells are as wide as the radius. keep: further columns of the targets."""
     p = points.select(F.col(point_id), F.col("x").alias("px"), F.col("y").alias("py"))
-    t = targets.select(F.col(target_id), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    t = targets.select(F.col(target_id), F.col("x").alias("tx"), F.col("y").alias("ty"), *keep)
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
     near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
     tc = t.withColumn("__cx", near("tx")).withColumn("__cy", near("ty"))
@@ -48,18 +49,19 @@ def radius_join(points: DataFrame, targets: DataFrame, radius: float, point_id:
     return j.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("__cx", "__cy")
 
 
-def nearest(points: DataFrame, targets: DataFrame, radius: float, k: int, point_id: str, target_id: str) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, radius: float, k: int, point_id: str, target_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Of each target the k nearest points within the radius, rank from 1; ties by the point's id. Without a match a target has no row."""
     w = Window.partitionBy(target_id).orderBy("d2", point_id)
-    return radius_join(points, targets, radius, point_id, target_id).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return radius_join(points, targets, radius, point_id, target_id, keep).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def camera_join(assets: DataFrame, cameras: DataFrame, metres: float = 60.0, most: int = 100) -> DataFrame:
-    """id, event_id, x, y, dist: of each asset its cameras within that many metres, the nearest `most` by degrees among those within twice the radius. x, y: metres east and north of the asset. assets: id, lon, lat; cameras: event_id, plon, plat."""
+def camera_join(assets: DataFrame, cameras: DataFrame, metres: float = 60.0, most: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, event_id, x, y, dist, px, py, tx, ty: of each asset its cameras within that many metres, the nearest `most` by degrees among those within twice the radius. x, y: metres east and north of the asset; px, py and tx, ty: the camera's and the asset's place. assets: id, lon, lat; cameras: event_id, plon, plat. keep: further columns of the assets."""
     degrees = 2 * metres / geo.METRES_PER_DEGREE
-    near = nearest(cameras.select("event_id", F.col("plon").alias("x"), F.col("plat").alias("y")), assets.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), degrees, most, "event_id", "id").where(F.col("d2") < degrees * degrees)
+    targets = assets.select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), *keep)
+    near = nearest(cameras.select("event_id", F.col("plon").alias("x"), F.col("plat").alias("y")), targets, degrees, most, "event_id", "id", keep).where(F.col("d2") < degrees * degrees)
     x, y = geo.local_xy(F.col("px"), F.col("py"), F.col("tx"), F.col("ty"))
-    return near.select("id", "event_id", x.alias("x"), y.alias("y")).withColumn("dist", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).where(F.col("dist") <= metres)
+    return near.select("id", "event_id", x.alias("x"), y.alias("y"), "px", "py", "tx", "ty", *keep).withColumn("dist", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).where(F.col("dist") <= metres)
 
 
 def neighbours(assets: DataFrame, metres: float, size: float, unit_m: float = 0.111111) -> DataFrame:
@@ -68,15 +70,19 @@ def neighbours(assets: DataFrame, metres: float, size: float, unit_m: float = 0.
     return box_join(grown, assets.select("id", *Box._fields), size).where("l_id <> r_id")
 
 
-def clear_views(pairs: DataFrame, blockers: DataFrame, size: float) -> DataFrame:
-    """pairs (id, event_id, cx, cy: the asset's middle; px, py: the camera; own box) without those whose line of sight another asset's box cuts by more than a point. A camera inside its asset is never blocked."""
-    lines = pairs.select("id", "event_id", "cx", "cy", "px", "py", F.least("cx", "px").alias("minx"), F.least("cy", "py").alias("miny"), F.greatest("cx", "px").alias("maxx"), F.greatest("cy", "py").alias("maxy"))
+def blocked_views(pairs: DataFrame, blockers: DataFrame, size: float) -> DataFrame:
+    """id, event_id of those pairs (id, event_id, cx, cy: the asset's middle; px, py: the camera; own box) whose line of sight another asset's box cuts by more than a point. A camera inside its asset is never blocked."""
     own = boxes.Box(*(F.col(f"own_{c}") for c in Box._fields))
-    inside = pairs.where((F.col("px") > own.minx) & (F.col("px") < own.maxx) & (F.col("py") > own.miny) & (F.col("py") < own.maxy)).select("id", "event_id")
+    outside = pairs.where(~((F.col("px") > own.minx) & (F.col("px") < own.maxx) & (F.col("py") > own.miny) & (F.col("py") < own.maxy)))
+    lines = outside.select("id", "event_id", "cx", "cy", "px", "py", F.least("cx", "px").alias("minx"), F.least("cy", "py").alias("miny"), F.greatest("cx", "px").alias("maxx"), F.greatest("cy", "py").alias("maxy"))
     hit = box_join(lines, blockers.select("id", *Box._fields), size, on=F.col("l_id") != F.col("r_id"))
     share = boxes.sight_overlap(F.col("l_px"), F.col("l_py"), F.col("l_cx"), F.col("l_cy"), boxes.box("r_"))
-    blocked = hit.where(share > 1e-9).select(F.col("l_id").alias("id"), F.col("l_event_id").alias("event_id")).distinct().join(inside, ["id", "event_id"], "left_anti")
-    return pairs.join(blocked, ["id", "event_id"], "left_anti")
+    return hit.where(share > 1e-9).select(F.col("l_id").alias("id"), F.col("l_event_id").alias("event_id")).distinct()
+
+
+def clear_views(pairs: DataFrame, blockers: DataFrame, size: float) -> DataFrame:
+    """The pairs that blocked_views doesn't give."""
+    return pairs.join(blocked_views(pairs, blockers, size), ["id", "event_id"], "left_anti")
 
 
 RAYS = ((0, "major_pos"), (90, "minor_pos"), (180, "major_neg"), (270, "minor_neg"))
@@ -89,14 +95,43 @@ def ray_name(angle: Column) -> Column:
     return out
 
 
+def rays(corners: Column | None = None, interval: int | None = None) -> Column:
+    """Array of struct<angle, axis>: the four faces, and rays to the corners (array of struct<x, y> in the asset's rotated metres; corner_1 is the one of smallest angle) or every `interval` degrees. A corner on a face's ray is that face."""
+    faces = F.array(*(F.struct(F.lit(float(a)).alias("angle"), F.lit(n).alias("axis")) for a, n in RAYS))
+    if corners is None and interval is None:
+        return faces
+    if corners is None:
+        others = F.array(*(F.struct(F.lit(float(a)).alias("angle"), F.lit(f"ray_{a}").alias("axis")) for a in range(0, 360, interval) if a % 90))
+        return F.concat(faces, others.cast("array<struct<angle:double,axis:string>>"))
+    angle = F.array_sort(F.transform(corners, lambda c: F.pmod(F.degrees(F.atan2(c["y"], c["x"])), F.lit(360.0))))
+    named = F.transform(angle, lambda a, i: F.struct(a.alias("angle"), F.concat(F.lit("corner_"), (i + 1).cast("string")).alias("axis")))
+    off = lambda r: F.abs(r["angle"] / 90.0 - F.round(r["angle"] / 90.0)) > 1e-7
+    return F.concat(faces, F.filter(named, off))
+
+
 def match_rays(cands: DataFrame, angles: list[int] = [a for a, _ in RAYS], tolerance: float = 10.0) -> DataFrame:  # noqa: B006
-    """cands (id, event_id, x, y in the asset's rotated metres) with each ray (angle from the major axis) that they stand on: perp is their distance from the ray."""
-    j = cands.withColumn("angle", F.explode(F.array(*map(F.lit, angles))))
+    """cands (id, event_id, x, y in the asset's rotated metres) with each ray (angle from the major axis) that they stand on: perp is their distance from the ray. A column `rays` (see rays) takes the place of the angles, and gives angle and axis."""
+    if "rays" in cands.columns:
+        j = cands.withColumn("__r", F.explode("rays")).withColumns({"angle": F.col("__r.angle"), "axis": F.col("__r.axis")}).drop("rays", "__r")
+    else:
+        j = cands.withColumn("angle", F.explode(F.array(*map(F.lit, angles))))
     c, s = F.cos(F.radians(F.col("angle").cast("double"))), F.sin(F.radians(F.col("angle").cast("double")))
     j = j.withColumn("perp", F.abs(-F.col("x") * s + F.col("y") * c)).withColumn("along", F.col("x") * c + F.col("y") * s)
     return j.where((F.col("perp") <= tolerance) & (F.col("along") > 0))
 
 
+def best_by_named_ray(matched: DataFrame) -> DataFrame:
+    """id, angle, axis, event_id: of each asset and ray that has a camera the one nearest to the ray (ties by id)."""
+    return matched.groupBy("id", "angle", "axis").agg(F.min_by("event_id", F.struct(F.round("perp", 6), "event_id")).alias("event_id"))
+
+
+def localise(matched: DataFrame, assets: DataFrame, size: float) -> DataFrame:
+    """matched (from match_rays, with tx, ty: the asset's middle, px, py: the camera, own_minx .. own_maxy: its box) without the cameras whose view of their asset another of the assets blocks. matched is written once; what follows reads that."""
+    m = cut(matched)
+    pairs = m.select("id", "event_id", F.col("tx").alias("cx"), F.col("ty").alias("cy"), "px", "py", *(f"own_{c}" for c in Box._fields)).dropDuplicates(["id", "event_id"])
+    return m.join(blocked_views(pairs, assets, size), ["id", "event_id"], "left_anti")
+
+
 def best_by_ray(matched: DataFrame, assets: DataFrame, angles: list[int] = [a for a, _ in RAYS]) -> DataFrame:  # noqa: B006
     """id, angle, event_id: of each asset and ray the camera nearest to the ray (ties by id), null where there is none."""
     best = matched.groupBy("id", "angle").agg(F.min_by("event_id", F.struct(F.round("perp", 6), "event_id")).alias("event_id"))
@@ -115,7 +150,7 @@ def ray_order(name: Column) -> Column:
 
 def capped(best: DataFrame, most: int = 8) -> DataFrame:
     """Of each asset the first `most` rays that have a camera: major, then minor, then other rays, each by angle; `place` from 1."""
-    name = ray_name(F.col("angle"))
+    name = F.col("axis") if "axis" in best.columns else ray_name(F.col("angle"))
     prio = F.when(name.startswith("major"), 0).when(name.startswith("minor"), 1).otherwise(2)
     w = Window.partitionBy("id").orderBy(prio, "angle")
     return best.where("event_id is not null").withColumn("axis", name).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from parcelflow.functions import text as X
 from parcelflow.operators import collection as C
 from parcelflow.operators import graph, keyed, merge, spatial
 from parcelflow.plans import fixtures as fx
+from parcelflow.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,21 +72,25 @@ def flt1_attribute_types_differ(spark, d):
 
 _BOX = (1000, 500, 4000, 2000)
 _X0, _Y0, _X1, _Y1 = _BOX
-_BOX_SQL = {
-    "intersects": f"minx <= {_X1} and maxx >= {_X0} and miny <= {_Y1} and maxy >= {_Y0}",
-    "within": f"minx >= {_X0} and maxx <= {_X1} and miny >= {_Y0} and maxy <= {_Y1}",
-    "contains": f"minx <= {_X0} and maxx >= {_X1} and miny <= {_Y0} and maxy >= {_Y1}",
-    "touches": f"minx <= {_X1} and maxx >= {_X0} and miny <= {_Y1} and maxy >= {_Y0} and not (minx < {_X1} and maxx > {_X0} and miny < {_Y1} and maxy > {_Y0})",
-    "disjoint": f"not (minx <= {_X1} and maxx >= {_X0} and miny <= {_Y1} and maxy >= {_Y0})",
-    "overlaps": f"minx < {_X1} and maxx > {_X0} and miny < {_Y1} and maxy > {_Y0} and not (minx >= {_X0} and maxx <= {_X1} and miny >= {_Y0} and maxy <= {_Y1})",
-}
-for _p, _s in _BOX_SQL.items():
-
-    def _f(spark, d, p=_p):
-        return C.filter_by_box(fx.assets(spark, d), boxes.literal(*_BOX), p).select("id")
+#: Search boxes that some asset of every scale stands so to: one inside asset 7, one at its right edge.
+_BOXES = {"contains": (1400, 0, 1450, 100), "touches": (1512, 0, 1530, 100)}
+
+
+def _box_sql(predicate: str, box: tuple[int, int, int, int]) -> str:
+    x0, y0, x1, y1 = box
+    meet, inner = f"minx <= {x1} and maxx >= {x0} and miny <= {y1} and maxy >= {y0}", f"minx < {x1} and maxx > {x0} and miny < {y1} and maxy > {y0}"
+    within, holds = f"minx >= {x0} and maxx <= {x1} and miny >= {y0} and maxy <= {y1}", f"minx <= {x0} and maxx >= {x1} and miny <= {y0} and maxy >= {y1}"
+    return {"intersects": meet, "within": within, "contains": holds, "touches": f"{meet} and not ({inner})", "disjoint": f"not ({meet})", "overlaps": f"{inner} and not ({within})"}[predicate]
+
+
+for _p in ("intersects", "within", "contains", "touches", "disjoint", "overlaps"):
+    _b = _BOXES.get(_p, _BOX)
+
+    def _f(spark, d, p=_p, b=_b):
+        return C.filter_by_box(fx.assets(spark, d), boxes.literal(*b), p).select("id")
 
     _f.__name__ = f"flt2_geometry_{_p}"
-    query(_with(AS, f"select id from fx_assets where {_s}"))(_f)
+    query(_with(AS, f"select id from fx_assets where {_box_sql(_p, _b)}"))(_f)
 
 
 @query(_with(AT, "select id from fx_attrs where k % 13 <> 0"))
@@ -120,8 +126,7 @@ def flt10_missing_data(spark, d):
 
 @query(_with(AS, "select id, (maxx - minx) * (maxy - miny) as area from fx_assets where (maxx - minx) * (maxy - miny) > 30000"))
 def flt12_least_area(spark, d):
-    a = boxes.area(boxes.box())
-    return fx.assets(spark, d).select("id", a.alias("area")).where("area > 30000")
+    return C.least_area(fx.assets(spark, d), 30000).select("id", "area")
 
 
 @query(_with(f"{AS}, {IM}", "select id from fx_assets a where exists (select 1 from fx_images i where i.creator = a.k)"))
@@ -347,18 +352,25 @@ def agg11_robust_range(spark, d):
 
 @query("select user_id, min(event_id) filter (event_type = 'click') as first_content, min(event_id) filter (event_type = 'view') as first_vehicle from events group by user_id")
 def agg13_row_extent(spark, d):
-    e = fx.read(spark, d, "events")
-    return e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("first_content"), F.min(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("first_vehicle"))
+    return C.content_rows(fx.read(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "click", F.col("event_type") == "view")
+
+
+@query("with r as (select user_id, min(event_id % 400) filter (event_type = 'click') as c, min(event_id % 400 + 200) filter (event_type = 'view') as v from events group by user_id), t as (select *, greatest(100, c - 4) as top, coalesce(greatest(0, v - 4), 400) as bottom from r) select user_id, case when c is not null and top < bottom then top else 100 end::bigint as top, case when c is not null and top < bottom then bottom else 400 end::bigint as bottom from t")
+def gm19_crop_rows(spark, d):
+    e = fx.read(spark, d, "events").withColumn("r", F.col("event_id") % 400 + F.when(F.col("event_type") == "view", 200).otherwise(0))
+    rows = C.content_rows(e, "user_id", "r", F.col("event_type") == "click", F.col("event_type") == "view")
+    top, bottom = C.crop_rows(F.lit(400), F.col("first_content"), F.col("first_vehicle"))
+    return rows.select("user_id", top.cast("bigint").alias("top"), bottom.cast("bigint").alias("bottom"))
 
 
 @query(_with(AS, "select nation, max_by(id, ((maxx - minx) * (maxy - miny), -k)) as id from fx_assets group by nation"))
 def agg14_largest_part(spark, d):
-    return fx.assets(spark, d).groupBy("nation").agg(F.max_by("id", F.struct(boxes.area(boxes.box()), -F.col("k"))).alias("id"))
+    return C.largest_part(fx.assets(spark, d), "nation", "id", boxes.area(boxes.box()), "k")
 
 
 @query(_with(AT, "select distinct coalesce(aty, cat) as asset_type from fx_attrs where coalesce(aty, cat) is not null"))
 def agg15_distinct_types(spark, d):
-    return fx.attributed(spark, d).select(A.asset_type(F.col("attrs")).alias("asset_type")).where("asset_type is not null").distinct()
+    return C.distinct_types(fx.attributed(spark, d))
 
 
 _GAP = "b as (select distinct creator as key, heading as bearing from fx_images), g as (select key, bearing, coalesce(lead(bearing) over w, first_value(bearing) over w + 360) - bearing as g from b window w as (partition by key order by bearing))"
@@ -388,10 +400,10 @@ def agg6_dissolve(spark, d):
     return graph.dissolve(fx.detections(spark, d), "did", 300)
 
 
-@query("with recursive " + DT + _COMP + " select root, sum(b - a)::bigint as length from e join c on c.id = e.a group by root having sum(b - a) > 3")
+@query("with recursive " + DT + _COMP + " select root, sum(b - a + a % 5)::bigint as length from e join c on c.id = e.a group by root having sum(b - a + a % 5) > 3")
 def agg9_long_components(spark, d):
     x = fx.detections(spark, d)
-    e = graph.overlap_edges(x, "did", 300).withColumn("length", F.col("b") - F.col("a"))
+    e = graph.overlap_edges(x, "did", 300).withColumn("length", F.col("b") - F.col("a") + F.col("a") % 5)
     return graph.long_components(x.select(F.col("did").alias("id")), e, 3)
 
 
@@ -443,9 +455,11 @@ cand as (select id, event_id, (px - x) * {_M}::double * 0.82726::double as dx, (
 , ok as (select * from m where perp <= 10 and along > 0)"""
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, corners=None):
     a = fx.assets(spark, d)
-    near = spatial.radius_join(fx.images(spark, d).select("event_id", F.col("px").alias("x"), F.col("py").alias("y")), a.select("id", "x", "y"), 700, "event_id", "id")
+    own = [F.col(n).alias(f"own_{n}") for n in boxes.Box._fields]
+    targets = a.select("id", "x", "y", *own, spatial.rays(corners).alias("rays")) if corners is not None else a.select("id", "x", "y", *own)
+    near = spatial.radius_join(fx.images(spark, d).select("event_id", F.col("px").alias("x"), F.col("py").alias("y")), targets, 700, "event_id", "id", tuple(targets.columns[3:]))
     m = float(_M)
     c = near.withColumn("x", (F.col("px") - F.col("tx")) * F.lit(m) * F.lit(0.82726)).withColumn("y", (F.col("py") - F.col("ty")) * F.lit(m))
     return a, c.where("x * x + y * y <= 3600")
@@ -471,11 +485,7 @@ _CLEAR = """
 
 def _localised(spark, d):
     a, c = _candidates(spark, d)
-    m = spatial.match_rays(c)
-    own = a.select("id", *(F.col(n).alias(f"own_{n}") for n in boxes.Box._fields))
-    pairs = m.select("id", "event_id", F.col("tx").alias("cx"), F.col("ty").alias("cy"), "px", "py").distinct().join(own, "id")
-    clear = spatial.clear_views(pairs, a, 400)
-    return a, m.join(clear.select("id", "event_id"), ["id", "event_id"], "left_semi")
+    return a, spatial.localise(spatial.match_rays(c), a, 400)
 
 
 @query(_with(f"{AS}, {IM}, {_MATCH}{_CLEAR}", "select id, angle, event_id from best"))
@@ -491,6 +501,36 @@ def udf12_win2_win3_localise(spark, d):
     return spatial.capped(spatial.best_by_ray(m, a), 3).select("id", "event_id", "axis", "place", F.concat_ws("_", "id", "axis").alias("image_id"))
 
 
+_CORNERS = f"""
+, corners as (select id, (x - minx) * {_M}::double * 0.82726::double as w, (y - miny) * {_M}::double as h from fx_assets)
+, named as (select id, angle::double as angle, axis from fx_assets, (values (0, 'major_pos'), (90, 'minor_pos'), (180, 'major_neg'), (270, 'minor_neg')) f(angle, axis)
+  union all select id, degrees(atan2(h, w)), 'corner_1' from corners union all select id, degrees(atan2(h, -w)), 'corner_2' from corners union all select id, degrees(atan2(-h, -w)) + 360, 'corner_3' from corners union all select id, degrees(atan2(-h, w)) + 360, 'corner_4' from corners)
+, turned as (select cand.id, event_id, angle, axis, abs(-dx * sin(radians(angle)) + dy * cos(radians(angle))) as perp, dx * cos(radians(angle)) + dy * sin(radians(angle)) as along from cand join named using (id))
+, found as (select id, angle, axis, min_by(event_id, (round(perp, 6), event_id)) as event_id from turned where perp <= 10 and along > 0 group by all)
+"""
+
+
+@query(_with(f"{AS}, {IM}, {_MATCH}{_CORNERS}", ", n as (select id, axis, round(angle, 6) as angle, event_id, row_number() over (partition by id order by case when axis like 'major%' then 0 when axis like 'minor%' then 1 else 2 end, angle) as place from found) select * from n where place <= 6"))
+def win3_corner_rays(spark, d):
+    """Rays to an asset's corners beside those of its faces; views aren't tested."""
+    m = F.lit(float(_M))
+    w, h = (F.col("x") - F.col("minx")) * m * F.lit(0.82726), (F.col("y") - F.col("miny")) * m
+    at = F.array(*(F.struct((s * w).alias("x"), (t * h).alias("y")) for s, t in ((1, 1), (-1, 1), (-1, -1), (1, -1))))
+    _, c = _candidates(spark, d, at)
+    best = spatial.capped(spatial.best_by_named_ray(spatial.match_rays(c)), 6)
+    return best.select("id", "axis", F.round("angle", 6).alias("angle"), "event_id", "place")
+
+
+@query(_with(f"{AS}, {IM}", f"""
+, near as (select id, event_id, plon, plat, lon, lat, row_number() over (partition by id order by (plon - lon) ** 2 + (plat - lat) ** 2, event_id) as rank from fx_assets join fx_images on (plon - lon) ** 2 + (plat - lat) ** 2 < (120.0::double / 111320) ** 2)
+, m as (select id, event_id, (radians(plon) - radians(lon)) * cos(radians(lat)) * 6371000 as x, (radians(plat) - radians(lat)) * 6371000 as y from near where rank <= 100)
+select id, event_id, round(x, 4) as x, round(y, 4) as y, round(sqrt(x * x + y * y), 4) as dist from m where sqrt(x * x + y * y) <= 60"""))
+def jn5_camera_join(spark, d):
+    """The cameras of each asset: the nearest hundred in degrees, then those within 60 metres."""
+    c = spatial.camera_join(fx.assets(spark, d).select("id", "lon", "lat"), fx.images(spark, d).select("event_id", "plon", "plat"))
+    return c.select("id", "event_id", *(F.round(n, 4).alias(n) for n in ("x", "y", "dist")))
+
+
 @query(_with(DT, ", s as (select k, minx, miny, maxx, maxy from fx_assets), j as (select did, k, (greatest(0, least(s.maxx, m.maxx) - greatest(s.minx, m.minx)) * greatest(0, least(s.maxy, m.maxy) - greatest(s.miny, m.miny))) as i, (s.maxx - s.minx) * (s.maxy - s.miny) as sa, (m.maxx - m.minx) * (m.maxy - m.miny) as ma from fx_detections m join s on did // 2 = k) select did, k from j where i / (sa + ma - i)::double >= 0.8 or i / sa::double >= 0.85"))
 def jn9_seed_match(spark, d):
     m = fx.detections(spark, d).withColumn("k", F.floor(F.col("did") / 2))
@@ -501,13 +541,12 @@ def jn9_seed_match(spark, d):
 def jn10_scatter(spark, d):
     e = fx.read(spark, d, "events")
     out = e.where("event_id % 4 = 0").select("event_id", (F.col("value") * 2).alias("score"))
-    return e.select("event_id", "event_type").join(out, "event_id")
+    return C.scatter(e.select("event_id", "event_type"), out, "event_id")
 
 
 @query(_with(AS, "select id, case asset_type when 'BUILDING' then 'wall' when 'MACHINERY' then 'engine' end as label from fx_assets"))
 def jn11_label_mapping(spark, d):
-    m = spark.createDataFrame([("BUILDING", "wall"), ("MACHINERY", "engine")], "asset_type string, label string")
-    return fx.assets(spark, d).join(F.broadcast(m), "asset_type", "left").select("id", "label")  # two constant rows
+    return C.map_labels(fx.assets(spark, d), {"BUILDING": "wall", "MACHINERY": "engine"}).select("id", "label")
 
 
 @query("select user_id, event_type, dense_rank() over (partition by user_id order by seen) as label_id from (select user_id, event_type, min(event_id) as seen from events group by all)")
@@ -517,17 +556,12 @@ def win5_src13_first_seen_ids(spark, d):
 
 @query(_with(AS, "select id, row_number() over (partition by nation order by (maxx - minx) * (maxy - miny) desc, k) as place from fx_assets"))
 def win6_srt5_largest_first(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("nation").orderBy(F.desc(boxes.area(boxes.box())), "k")
-    return fx.assets(spark, d).select("id", F.row_number().over(w).alias("place"))
+    return C.largest_first(fx.assets(spark, d), "nation", boxes.area(boxes.box()), "k").select("id", "place")
 
 
 @query("select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events) where n <= 2")
 def srt4_truncate_images(spark, d):
-    from pyspark.sql.window import Window
-
-    return fx.read(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("n <= 2").select("user_id", "event_id")
+    return C.first_of(fx.read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 2)
 
 
 # ---- tiles and geodesy ----
@@ -632,12 +666,12 @@ def geo18_patch_pixels(spark, d):
     return fx.assets(spark, d).select("id", px.alias("px"))
 
 
-@query(_with(AS, "select id, k % 2 = 0 as metric, round(case when k % 2 = 0 then degrees((minx + 500) / 6378137.0) else minx / 100.0 end, 9) as x0 from fx_assets where minx between 1 and 9000"))
+@query(_with(AS, "select id, k % 2 = 0 as metric, round(case when k % 2 = 0 then degrees((minx + 500) / 6378137.0) else minx / 100.0 end, 9) as x0 from fx_assets"))
 def geo21_detect_mercator(spark, d):
     even = F.col("k") % 2 == 0
     c = lambda n: F.when(even, F.col(n).cast("double") + 500).otherwise(F.col(n) / 100.0)
     metric, corners = geo.as_wgs84(c("minx"), F.when(even, F.lit(0.0)).otherwise(0.5), c("maxx"), F.when(even, F.lit(1.0)).otherwise(0.6))
-    return fx.assets(spark, d).where("minx between 1 and 9000").select("id", metric.alias("metric"), F.round(corners[0], 9).alias("x0"))
+    return fx.assets(spark, d).select("id", metric.alias("metric"), F.round(corners[0], 9).alias("x0"))
 
 
 @query(_with(AS, "select id, (minx - 0) / 0.5 - 10 as col, (8000 - maxy) / 0.5 - 20 as row from fx_assets"))
@@ -676,8 +710,7 @@ def gm7_distance(spark, d):
 
 @query(_with(AS, "select id, greatest(10.0, round(2 * (maxx - minx) * (maxy - miny) / (2.0 * (maxx - minx + maxy - miny)), 6)) as width from fx_assets"))
 def gm18_approx_width(spark, d):
-    b = boxes.box()
-    return fx.assets(spark, d).select("id", F.greatest(F.lit(10.0), F.round(2 * boxes.area(b) / (2.0 * (boxes.width(b) + boxes.height(b))), 6)).alias("width"))
+    return fx.assets(spark, d).select("id", C.approx_width().alias("width"))
 
 
 @query("select p_partkey, r as row_off, c as col_off, least(512, 900 + p_partkey % 50 - c) as w, least(512, 700 - r) as h from part, (select unnest(range(0, 700, 409)) as r), (select unnest(range(0, 950, 409)) as c) where c < 900 + p_partkey % 50")
@@ -716,8 +749,7 @@ def str1_parse_answer(spark, d):
 
 @query(r"""with l as (select doc_id, i, ls[i] as l from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)), p as (select doc_id, i, replace(lower(trim(regexp_extract(l, '^([0-9A-Za-z_\s]+)[:\-]\s*(.*)$', 1))), ' ', '_') as k, trim(regexp_extract(l, '^([0-9A-Za-z_\s]+)[:\-]\s*(.*)$', 2)) as v from l where regexp_matches(l, '^([0-9A-Za-z_\s]+)[:\-]\s*(.*)$')) select doc_id, k as key, max_by(v, i) as value from p group by doc_id, k""")
 def str1_key_value_lines(spark, d):
-    t = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    m = F.explode(X.key_value_lines(t)).alias("key", "v")
+    m = F.explode(X.key_value_lines(F.col("text"))).alias("key", "v")
     return fx.read(spark, d, "documents").select("doc_id", m).select("doc_id", "key", F.try_variant_get("v", "$", "string").alias("value"))
 
 
@@ -736,7 +768,7 @@ def str3_udf13_labels(spark, d):
 
 @query("select user_id, string_agg(event_type, '. ' order by event_type) as prompt from (select distinct user_id, event_type from events) group by user_id")
 def str4_prompt_join(spark, d):
-    return fx.read(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ". ").alias("prompt"))
+    return C.joined_prompts(fx.read(spark, d, "events"), "user_id", "event_type")
 
 
 @query("select event_id, starts_with(event_type, 'c') or starts_with(event_type, 'vi') as hit from events")
@@ -796,7 +828,7 @@ def geo13_gm2_measure_polygons(spark, d):
     return m.select("id", *(F.round(c, 6).alias(c) for c in ("area", "perimeter", "cx", "cy")))
 
 
-@query(_with(AS, f"select id from fx_assets where {_BOX_SQL['within']}"))
+@query(_with(AS, f"select id from fx_assets where {_box_sql('within', _BOX)}"))
 def flt2_gm8_polygons_within(spark, d):
     from parcelflow.operators import footprints
 
@@ -852,3 +884,261 @@ def udf1_udf16_srt2_pipeline(spark, d):
         return df.withColumn("attrs", A.with_type(F.col("attrs"), "parcel"))
 
     return Pipeline().add(type_exporter).add(type_predictor).add(A.filter_empty, stage=1).run(fx.attributed(spark, d))
+
+
+# ---- files written and read again ----
+
+
+def _folder(spark, name: str) -> str:
+    """A folder of our own on the shared storage."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _plain(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def _as_assets(spark, d):
+    p = _polygons(spark, d)
+    attrs = F.map_from_arrays(F.array(F.lit("kind"), F.lit("acctbal")), F.array(F.col("asset_type").cast("variant"), F.col("acctbal").cast("double").cast("variant")))
+    return p.select("id", F.col("k").alias("ord"), F.struct(F.lit("Polygon").alias("type"), F.array("rings").alias("parts")).alias("geom"), attrs.alias("attrs"))
+
+
+@query(_with(AS, "select id, minx::double as minx, maxy::double as maxy, asset_type as kind, acctbal::double as acctbal from fx_assets"))
+def src3_snk4_str6_shapefile(spark, d):
+    """Assets written as shapefiles, one a partition, and read again."""
+    from parcelflow.sources import shapefile
+
+    at = _plain(_folder(spark, "shapes"))
+    shapefile.write(_as_assets(spark, d), at)
+    get = lambda k, t: F.try_variant_get(A.value(F.col("attrs"), k), "$", t)
+    return shapefile.read(spark, at).select("id", "minx", "maxy", get("kind", "string").alias("kind"), get("acctbal", "double").alias("acctbal"))
+
+
+@query(_with(AS, "select id, minx::double as minx, maxy::double as maxy, asset_type as kind from fx_assets"))
+def snk2_src1_geojson_lines(spark, d):
+    from parcelflow.sources import geojson
+
+    at = _folder(spark, "lines")
+    geojson.write_lines(_as_assets(spark, d), at)
+    back = geojson.read(spark, at, lines=True)
+    return back.select("id", "minx", "maxy", F.try_variant_get(A.value(F.col("attrs"), "kind"), "$", "string").alias("kind"))
+
+
+def _written_rasters(spark) -> str:
+    """Sixteen rasters of 19 x 19 pixels, 100 units each, laid out as _RASTERS."""
+    import numpy as np
+
+    from parcelflow.sources import pictures, raster
+
+    at = _plain(_folder(spark, "rasters"))
+
+    def run(it):
+        for pdf in it:
+            yield pdf.assign(path=[f"{at}/{n}.tif" for n in pdf["id"]], content=[raster.encode(np.full((19, 19, 1), n + 1, np.uint8), n % 4 * 2000.0, n // 4 * 2000.0 + 1900, 100.0, 100.0) for n in pdf["id"]])[["path", "content"]]
+
+    if pictures.save_files(spark.range(16).mapInPandas(run, "path string, content binary")).where("status = 'failed'").count():
+        raise OSError(f"{at} can't be written")
+    return at
+
+
+_NAME = r"([0-9]+)\.tif$"
+
+
+@query(_with(_RASTERS, "select rid, minx::double as minx, miny::double as miny, maxx::double as maxx, maxy::double as maxy, 19::bigint as width, (rid + 1)::double as p1 from rasters"))
+def src4_src7_src17_rasters(spark, d):
+    from parcelflow.sources import raster
+
+    at = _written_rasters(spark)
+    meta = raster.open_rasters(spark, at).join(raster.statistics(spark, at).where("band = 0").select("path", "p1"), "path")
+    return meta.select(F.regexp_extract("path", _NAME, 1).cast("bigint").alias("rid"), *boxes.Box._fields, "width", "p1")
+
+
+_WINDOW = "greatest(0, least(19, round(({0}) / 100.0)))::bigint"
+
+
+@query(_with(f"{AS}, {_RASTERS}", f"""select * from (select id, rid, {_WINDOW.format('r.maxy - a.maxy')} as row_off, {_WINDOW.format('a.minx - r.minx')} as col_off, {_WINDOW.format('r.maxy - a.miny')} - {_WINDOW.format('r.maxy - a.maxy')} as h, {_WINDOW.format('a.maxx - r.minx')} - {_WINDOW.format('a.minx - r.minx')} as w, rid + 1 as first
+from fx_assets a join rasters r on a.minx <= r.maxx and a.maxx >= r.minx and a.miny <= r.maxy and a.maxy >= r.miny) where h > 0 and w > 0"""))
+def src5_patches(spark, d):
+    """Each asset's window in each raster that it meets, with its first pixel."""
+    from parcelflow.sources import raster
+
+    w = raster.patches(spark, _written_rasters(spark), fx.assets(spark, d), buffer=0.0, square=False, geographic=False)
+    px = raster.read_windows(w.select("id", "path", "row_off", "col_off", "w", "h"))
+    return px.select("id", F.regexp_extract("path", _NAME, 1).cast("bigint").alias("rid"), "row_off", "col_off", "h", "w", F.conv(F.hex(F.substring("pixels", 1, 1)), 16, 10).cast("bigint").alias("first"))
+
+
+# ---- shapes with areas in closed form ----
+
+
+def _ring(*points):
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(*(pt(x, y) for x, y in (*points, points[0])))
+
+
+def _rectangle(x0, y0, x1, y1):
+    return _ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+
+
+def _areas(df, *more):
+    from parcelflow.operators import footprints
+
+    return footprints.measure(df.select("id", "rings")).select("id", F.round("area", 4).alias("area"), *more)
+
+
+@query(_with(AS, "select id, true as grown, round(((maxx - minx - 20) * (maxy - miny - 20))::double, 4) as shrunk from fx_assets"))
+def gm6_buffers(spark, d):
+    """Grown shapes lie between the square- and the round-cornered one; shrunk ones are exact."""
+    from parcelflow.operators import footprints
+
+    p = _polygons(spark, d).select("id", "minx", "miny", "maxx", "maxy", "rings")
+    b = boxes.box()
+    full = boxes.area(b) + 20.0 * (boxes.width(b) + boxes.height(b))
+    grown = footprints.measure(footprints.buffered(p, 10.0)).join(p.select("id", full.alias("full")), "id").select("id", ((F.col("area") > F.col("full") + 300.0) & (F.col("area") < F.col("full") + 314.16)).alias("grown"))
+    return _areas(footprints.buffered(p, -10.0)).withColumnRenamed("area", "shrunk").join(grown, "id")
+
+
+@query(_with(AS, "select id, ((maxx - minx) * (maxy - miny) - (maxx - minx - 40) * (maxy - miny - 40) / 2.0)::double as area from fx_assets"))
+def gm9_hulls(spark, d):
+    """The hull of an L is its box less a triangle."""
+    from parcelflow.operators import footprints
+
+    x0, y0, x1, y1 = boxes.box()
+    return _areas(footprints.hulls(fx.assets(spark, d).withColumn("rings", F.array(_ring((x0, y0), (x1, y0), (x1, y0 + 40), (x0 + 40, y0 + 40), (x0 + 40, y1), (x0, y1)))).select("id", "rings")))
+
+
+@query(_with(AS, "select id, ((maxx - minx) * (maxy - miny))::double as area, ((maxx - minx) * (maxy - miny) - 400)::double as with_hole from fx_assets"))
+def gm10_filled_holes(spark, d):
+    from parcelflow.operators import footprints
+
+    x0, y0, x1, y1 = boxes.box()
+    p = fx.assets(spark, d).withColumn("rings", F.array(_rectangle(x0, y0, x1, y1), _rectangle(x0 + 10, y0 + 10, x0 + 30, y0 + 30))).select("id", "rings")
+    return _areas(footprints.filled(p)).join(_areas(p).withColumnRenamed("area", "with_hole"), "id")
+
+
+@query(_with(AS, "select id, case when k % 2 = 0 then 1 else 2 end::bigint as parts from fx_assets"))
+def gm11_agg14_closed_gaps(spark, d):
+    """Two rectangles with a gap of 4 (even) or 40 (odd) between them, closed by 5."""
+    from parcelflow.kernels import polygon as P
+    from parcelflow.operators import footprints
+
+    x0, y0, x1, y1 = boxes.box()
+    gap = F.when(F.col("k") % 2 == 0, 4).otherwise(40)
+    p = fx.assets(spark, d).withColumn("rings", F.array(_rectangle(x0, y0, x1, y1), _rectangle(x1 + gap, y0, x1 + gap + 30, y1))).select("id", "rings")
+
+    def count(it):
+        for pdf in it:
+            yield pdf.assign(parts=[len(P.parts(footprints.region(r))) for r in pdf["rings"]])[["id", "parts"]]
+
+    return footprints.closed(p, 5.0).mapInPandas(count, "id string, parts bigint")
+
+
+@query(_with(AS, "select id, ((maxx - minx) * (maxy - miny) - 20 * (maxy - miny))::double as area from fx_assets"))
+def gm12_wall_cuts(spark, d):
+    """A neighbour that overlaps the last 20 units: cut along its wall."""
+    from parcelflow.operators import footprints
+
+    x0, y0, x1, y1 = boxes.box()
+    p = fx.assets(spark, d).select("id", F.array(_rectangle(x0, y0, x1, y1)).alias("rings"), F.array(_rectangle(x1 - 20, y0 - 500, x1 + 100, y1 + 500)).alias("other"))
+    return _areas(footprints.cut_by_walls(p))
+
+
+@query(_with(AS, "select k as id, (case when k % 2 = 0 then (maxx - minx) * (maxy - miny) else (maxx - minx) * (maxy - miny) - 25 * (maxy - miny) end)::double as area from (select k * 2 as k, minx + k * 1000 as minx, miny, maxx + k * 1000 as maxx, maxy from fx_assets union all select k * 2 + 1, maxx - 25 + k * 1000, miny, maxx - 25 + 50 + k * 1000, maxy from fx_assets)"))
+def win6_srt5_clipped(spark, d):
+    """Pairs of rectangles that share 25 units: the larger keeps its ground."""
+    from parcelflow.operators import footprints
+
+    a = fx.assets(spark, d)
+    x0, y0, x1, y1 = boxes.Box(F.col("minx") + F.col("k") * 1000, F.col("miny"), F.col("maxx") + F.col("k") * 1000, F.col("maxy"))
+    p = a.select((F.col("k") * 2).alias("id"), F.array(_rectangle(x0, y0, x1, y1)).alias("rings")).union(a.select((F.col("k") * 2 + 1).alias("id"), F.array(_rectangle(x1 - 25, y0, x1 + 25, y1)).alias("rings")))
+    return footprints.measure(footprints.truncated(p, "id", 300)).select("id", F.round("area", 4).alias("area"))
+
+
+@query(_with(AS, "select id, case when maxx - minx >= maxy - miny then 90.0 else 0.0 end::double as major from fx_assets where maxx - minx <> maxy - miny"))
+def geo13_principal_axes(spark, d):
+    from parcelflow.operators import footprints
+
+    p = _polygons(spark, d).where("maxx - minx <> maxy - miny")
+    return footprints.measure(p).select("id", F.pmod(F.round("major", 6), F.lit(180.0)).alias("major"))
+
+
+@query(_with(AS, "select id from fx_assets where k % 4 > 0"))
+def flt11_sound_shapes(spark, d):
+    """Shapes without area fall out."""
+    from parcelflow.operators import footprints
+
+    x0, y0, x1, y1 = boxes.box()
+    end = F.when(F.col("k") % 4 == 0, y0).otherwise(y1)
+    return footprints.sound(fx.assets(spark, d).select("id", F.array(_rectangle(x0, y0, x1, end)).alias("rings"))).select("id")
+
+
+_FEET = "(6371000.0::double * 3937 / 1200)"
+
+
+@query(_with(AS, f"""
+, q as (select id, radians(lat) as p, radians(34.18::double) as p0, radians(lon - -118.15::double) as dl from fx_assets)
+, c as (select *, acos(least(1.0, sin(p0) * sin(p) + cos(p0) * cos(p) * cos(dl))) as c from q)
+select id, round({_FEET} * case when c < 1e-12 then 1 else c / sin(c) end * cos(p) * sin(dl), 2) as x, round({_FEET} * case when c < 1e-12 then 1 else c / sin(c) end * (cos(p0) * sin(p) - sin(p0) * cos(p) * cos(dl)), 2) as y from c"""))
+def geo20_azimuthal_feet(spark, d):
+    x, y = geo.azimuthal_feet(F.col("lon"), F.col("lat"), F.lit(-118.15), F.lit(34.18))
+    return fx.assets(spark, d).select("id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+@query(_with(f"{AS}, {IM}", "select id, event_id, rank from (select id, event_id, row_number() over (partition by id order by (px - x) ** 2 + (py - y) ** 2, event_id) as rank from fx_assets join fx_images on (px - x) ** 2 + (py - y) ** 2 <= 250000) where rank <= 100"))
+def srt3_hundred_nearest(spark, d):
+    p = fx.images(spark, d).select("event_id", F.col("px").alias("x"), F.col("py").alias("y"))
+    return spatial.nearest(p, fx.assets(spark, d).select("id", "x", "y"), 500, 100, "event_id", "id").select("id", "event_id", "rank")
+
+
+@query(_with(AS, "select id, k, row_number() over (order by k) - 1 as at from fx_assets"))
+def srt1_insertion_order(spark, d):
+    return keyed.numbered(fx.assets(spark, d).select("id", "k", F.col("k").alias("ord"))).select("id", "k", "at")
+
+
+@query(_with(AS, "select id from fx_assets where not (k % 3 = 0 or k % 7 = 1)"))
+def set2_keyed_difference(spark, d):
+    a = fx.assets(spark, d).select("id", "k")
+    return keyed.remove(keyed.remove(a, a.where("k % 3 = 0").select("id")), a.where("k % 7 = 1").select("id")).select("id")
+
+
+@query("select event_id, row_number() over (order by event_id % 3, event_id) as place from events where event_id % 5 = 2 and value > 0")
+def flt4_udf2_predicates(spark, d):
+    """A predicate and a value function of the caller's, folded into one plan."""
+    from pyspark.sql.window import Window
+
+    from parcelflow.plans.pipeline import Pipeline
+
+    def wanted(df):
+        return df.where((F.col("event_id") % 5 == 2) & (F.col("value") > 0))
+
+    def placed(df):
+        return df.withColumn("place", F.row_number().over(Window.orderBy(F.col("event_id") % 3, "event_id")))
+
+    return Pipeline([wanted, placed]).run(fx.read(spark, d, "events")).select("event_id", "place")
+
+
+@query("select event_id, case event_id % 6 when 0 then 0 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 4 else 5 end as first, case event_id % 6 when 4 then event_id % 4 + 1 when 5 then event_id % 300 else 0 end as second from events")
+def win7_ray_order(spark, d):
+    e = F.col("event_id")
+    names = F.array(*map(F.lit, ("major_pos", "minor_pos", "major_neg", "minor_neg")))
+    name = F.when(e % 6 < 4, F.get(names, (e % 6).cast("int"))).when(e % 6 == 4, F.concat(F.lit("corner_"), (e % 4 + 1).cast("string"))).otherwise(F.concat(F.lit("ray_"), (e % 300).cast("string")))
+    o = spatial.ray_order(name)
+    return fx.read(spark, d, "events").select("event_id", o["col1"].alias("first"), o["col2"].alias("second"))
+
+
+@query(_with(AS, "select id, case when k % 2 = 0 then 'ok' else 'failed' end as status, case when k % 2 = 0 then 'seen ' || id end as text, true as batched from fx_assets"))
+def udf3_udf8_batches(spark, d):
+    """A model that gets up to four requests at once."""
+    from parcelflow.models import base
+
+    def answer(requests):
+        return [base.ModelOutput(f"seen {i[0]}", boxes=[[len(requests)]]) if int(i[0][1:]) % 2 == 0 else None for i, _ in requests]
+
+    got = base.infer(fx.assets(spark, d).select("id", F.array("id").alias("paths")), lambda: base.BatchBackend(answer), "p", batch=4)
+    return got.select("id", "status", "text", F.coalesce(F.get_json_object("boxes", "$[0][0]").cast("int") <= 4, F.lit(True)).alias("batched"))
+
+
+@query(_with(AT, "select 'assets: ' || count(*) as line from fx_attrs"))
+def snk8_summary_text(spark, d):
+    text = C.summary_text(fx.attributed(spark, d))
+    return spark.createDataFrame([(text.split("\n")[0],)], "line string")

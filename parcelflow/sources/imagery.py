@@ -14,6 +14,7 @@ from parcelflow.functions import geo
 from parcelflow.functions import text as X
 from parcelflow.models.base import with_retry
 from parcelflow.operators.keyed import keep_first
+from parcelflow.session import cut
 
 Fetch = Callable[[str], bytes]
 
@@ -130,18 +131,20 @@ def tile_images(tiles: DataFrame, fetch: Fetch, url: str, layer: str = "image",
 
 
 def images_in_box(spark: SparkSession, box: tuple[float, float, float, float], fetch: Fetch, url: str, start: str | None = None, end: str | None = None, creator: str | None = None, zoom: int = 14, partitions: int = 10) -> DataFrame:
-    """ord, id, plon, plat, capture_date, creator_id, props: the images of all tiles that the box meets, of repeated ids the first. As many fetches at once as partitions."""
+    """ord, id, plon, plat, capture_date, creator_id, props, error: the images of all tiles that the box meets, of repeated ids the first; a tile that can't be had is a row with its error and no id. As many fetches at once as partitions."""
     t = spark.range(1).select(F.explode(geo.cover_tiles(*(F.lit(float(v)) for v in box), zoom)).alias("t")).select("t.*").repartition(partitions)
-    raw = tile_images(t, fetch, url).where("error is null")
+    raw = cut(tile_images(t, fetch, url))  # fetched once, whatever reads it
     # one extent a layer: it comes with each row
     n = F.pow(F.lit(2.0), "z")
     lon = (F.col("x") + F.col("sx") / F.col("extent")) / n * 360.0 - 180.0
     lat = F.degrees(F.atan(F.sinh(F.pi() * (1.0 - 2.0 * (F.col("y") + F.col("sy") / F.col("extent")) / n))))
     day = geo.ms_to_date(F.col("captured_at"))
-    rows = raw.select("ord", "id", lon.alias("plon"), lat.alias("plat"), day.alias("capture_date"), "creator_id", "props")
+    rows = raw.select("ord", "id", lon.alias("plon"), lat.alias("plat"), day.alias("capture_date"), "creator_id", "props", "error")
+    failed = rows.where("error is not null")
+    rows = rows.where("error is null")
     if creator is not None:
         rows = rows.where(F.col("creator_id") == creator)
-    return keep_first(rows.where(X.in_date_range(F.col("capture_date"), start, end)))
+    return keep_first(rows.where(X.in_date_range(F.col("capture_date"), start, end))).unionByName(failed)
 
 
 def fetched(rows: DataFrame, fetch: Fetch, key: str = "id", url: str = "url", tries: int = 5) -> DataFrame:
@@ -160,6 +163,31 @@ def fetched(rows: DataFrame, fetch: Fetch, key: str = "id", url: str = "url", tr
     return rows.select(key, url).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, content binary, error string")
 
 
+def images_by_id(spark: SparkSession, ids: list[str], fetch: Fetch, url: str, fields: list[str] | None = None, partitions: int = 10, tries: int = 5) -> DataFrame:
+    """id, props (JSON), content, error of images by their ids, each once: their metadata (JSON at url, which has {id} and {fields}), then the picture at the address that the metadata gives. Either's failure is the row's error."""
+    keys = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string").repartition(partitions)
+    asked = X.checked_fields(F.array(*map(F.lit, fields or X.IMAGE_FIELDS)))
+    address = F.replace(F.replace(F.lit(url), F.lit("{id}"), F.col("id")), F.lit("{fields}"), F.array_join(asked, ","))
+    meta = fetched(keys.withColumn("url", address), fetch, tries=tries)
+    meta = cut(meta.select("id", F.decode("content", "UTF-8").alias("props"), "error"))
+    found = meta.withColumn("url", F.get_json_object("props", "$.thumb_original_url"))
+    got = fetched(found.where("url is not null"), fetch, tries=tries)
+    none = F.when(F.col("props").isNotNull() & F.col("url").isNull(), "no address of a picture")
+    return found.join(got.withColumnRenamed("error", "__e"), "id", "left").select("id", "props", "content", F.coalesce("error", "__e", none).alias("error"))
+
+
+def mosaic_windows(df: DataFrame, zoom: int, buffer: float = 0.1, size: int = 256) -> DataFrame:
+    """df (minx .. maxy in degrees) with left, top, right, bottom, the buffered box in global pixels, clamped to the map, and x, y, z of each tile that it meets."""
+    w, h = (F.col("maxx") - F.col("minx")) * buffer, (F.col("maxy") - F.col("miny")) * buffer
+    lon = lambda c: F.least(F.greatest(c, F.lit(-180.0)), F.lit(180.0))
+    lat = lambda c: F.least(F.greatest(c, F.lit(-geo.MAX_MERCATOR_LAT)), F.lit(geo.MAX_MERCATOR_LAT))
+    left, top = geo.pixel_xy(lat(F.col("maxy") + h), lon(F.col("minx") - w), zoom)
+    right, bottom = geo.pixel_xy(lat(F.col("miny") - h), lon(F.col("maxx") + w), zoom)
+    x = df.withColumns({"left": left, "top": top, "right": F.greatest(right, left + 1), "bottom": F.greatest(bottom, top + 1)})
+    tiles = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size)))
+    return x.withColumn("x", tiles("left", "right")).withColumn("y", tiles("top", "bottom")).withColumn("z", F.lit(zoom))
+
+
 def aerial_tiles(spark: SparkSession, box: tuple[float, float, float, float], zoom: int = 20) -> DataFrame:
     """x, y, z, quadkey, and the box of each aerial tile that a region meets."""
     t = spark.range(1).select(F.explode(geo.cover_tiles(*(F.lit(float(v)) for v in box), zoom)).alias("t")).select("t.*")

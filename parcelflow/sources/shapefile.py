@@ -1,4 +1,4 @@
-"""Shapefiles: a reader (one task a file, by binaryFile) and a writer for results that one machine holds, which the format's limits imply."""
+"""Shapefiles: a reader (one task a file, by binaryFile) and a writer, one shapefile a partition or one in all; tasks write, the driver sees only their names."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import json
 import math
 import struct
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import attrs as A
 from parcelflow.operators.keyed import keep_first
 from parcelflow.sources import geojson
+from parcelflow.sources.pictures import save
 
 WGS84 = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]'
 
@@ -150,17 +150,8 @@ def _body(kind: str, parts: list) -> bytes:
     return struct.pack("<i", _KIND[kind]) + box + struct.pack("<2i", len(rings), n) + struct.pack(f"<{len(starts)}i", *starts) + flat
 
 
-def write(assets: DataFrame, path: str, epsg: int = 4326) -> None:
-    """One shapefile: .shp, .shx, .dbf, and .prj for EPSG 4326. ValueError for an empty collection or mixed kinds of shape. Field types by attrs.shapefile_schema, text cut to 254 bytes."""
-    rows = [r.asDict(recursive=True) for r in assets.orderBy("ord").select("id", "geom", F.transform_values("attrs", lambda _, v: F.to_json(v)).alias("attrs")).toLocalIterator()]
-    if not rows:
-        raise ValueError("cannot write an empty collection")
-    kinds = {_KIND[r["geom"]["type"]] for r in rows}
-    if len(kinds) > 1:
-        raise ValueError("a shapefile holds one kind of shape")
-    schema = [(r["key"], r["code"]) for r in A.shapefile_schema(assets).orderBy("place").collect() if r["key"] != "id"]
-    names = A.short_names(["id", *(k for k, _ in schema)])
-    fields = [("id", "C"), *schema]
+def encode(rows: list[dict], fields: list[tuple[str, str]], names: dict[str, str], kind: int) -> dict[str, bytes]:
+    """The .shp, .shx and .dbf of rows (id, geom, attrs). fields: (key, type code)."""
     width = {"C": 254, "N": 18, "F": 18, "L": 1}
     shapes = [_body(r["geom"]["type"], r["geom"]["parts"]) for r in rows]
     offs, at = [], 50
@@ -169,20 +160,48 @@ def write(assets: DataFrame, path: str, epsg: int = 4326) -> None:
         at += 4 + len(s) // 2
     pts = [(p["x"], p["y"]) for r in rows for part in r["geom"]["parts"] for ring in part for p in ring]
     box = struct.pack("<4d", min(p[0] for p in pts), min(p[1] for p in pts), max(p[0] for p in pts), max(p[1] for p in pts))
-    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i", 1000, kinds.copy().pop()) + box + b"\0" * 32
-    base = Path(path).with_suffix("")
-    base.with_suffix(".shp").write_bytes(head(at) + b"".join(struct.pack(">2i", k + 1, len(s) // 2) + s for k, s in enumerate(shapes)))
-    base.with_suffix(".shx").write_bytes(head(50 + 4 * len(shapes)) + b"".join(struct.pack(">2i", o, len(s) // 2) for o, s in zip(offs, shapes)))
+    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i", 1000, kind) + box + b"\0" * 32
     size = 1 + sum(width[c] for _, c in fields)
-    dbf = struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(rows), 33 + 32 * len(fields), size)
+    dbf = [struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(rows), 33 + 32 * len(fields), size)]
     for k, c in fields:
-        dbf += names[k].encode("latin-1", "replace")[:10].ljust(11, b"\0") + c.encode() + b"\0" * 4 + bytes([width[c], 5 if c == "F" else 0]) + b"\0" * 14
-    dbf += b"\r"
+        dbf.append(names[k].encode("latin-1", "replace")[:10].ljust(11, b"\0") + c.encode() + b"\0" * 4 + bytes([width[c], 5 if c == "F" else 0]) + b"\0" * 14)
+    dbf.append(b"\r")
     for r in rows:
-        dbf += b" " + b"".join(_cell(r["id"] if k == "id" else r["attrs"].get(k), c, width[c], k == "id") for k, c in fields)
-    base.with_suffix(".dbf").write_bytes(dbf + b"\x1a")
-    if epsg == 4326:
-        base.with_suffix(".prj").write_text(WGS84)
+        dbf.append(b" " + b"".join(_cell(r["id"] if k == "id" else r["attrs"].get(k), c, width[c], k == "id") for k, c in fields))
+    return {
+        ".shp": head(at) + b"".join(struct.pack(">2i", k + 1, len(s) // 2) + s for k, s in enumerate(shapes)),
+        ".shx": head(50 + 4 * len(shapes)) + b"".join(struct.pack(">2i", o, len(s) // 2) for o, s in zip(offs, shapes)),
+        ".dbf": b"".join(dbf) + b"\x1a",
+    }
+
+
+def write(assets: DataFrame, path: str, epsg: int = 4326) -> list[str]:
+    """Shapefiles of .shp, .shx, .dbf, and .prj for EPSG 4326; gives their .shp paths. A path that ends in .shp is one shapefile, of rows in order, written by one task; any other is a folder with one for each partition of the rows' order, on storage that all workers share. ValueError for an empty collection or mixed kinds of shape. Field types by attrs.shapefile_schema, text cut to 254 bytes."""
+    kinds = {_KIND[r[0]] for r in assets.select("geom.type").distinct().collect()}
+    if not kinds:
+        raise ValueError("cannot write an empty collection")
+    if len(kinds) > 1:
+        raise ValueError("a shapefile holds one kind of shape")
+    kind = kinds.pop()
+    schema = [(r["key"], r["code"]) for r in A.shapefile_schema(assets).orderBy("place").collect() if r["key"] != "id"]
+    names = A.short_names(["id", *(k for k, _ in schema)])
+    fields = [("id", "C"), *schema]
+    one = path.lower().endswith(".shp")
+    rows = assets.select("ord", "id", F.to_json("geom").alias("geom"), F.to_json(F.transform_values("attrs", lambda _, v: F.to_json(v))).alias("attrs"))
+    rows = (rows.repartition(1) if one else rows.repartitionByRange("ord")).sortWithinPartitions("ord")
+
+    def run(it):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        got = [{"id": i, "geom": json.loads(g), "attrs": json.loads(a)} for pdf in it for i, g, a in pdf[["id", "geom", "attrs"]].itertuples(index=False)]
+        if got:
+            base = path[:-4] if one else f"{path}/part-{TaskContext.get().partitionId():05d}"
+            for ending, data in {**encode(got, fields, names, kind), **({".prj": WGS84.encode()} if epsg == 4326 else {})}.items():
+                save(base + ending, data)
+            yield pd.DataFrame({"path": [f"{base}.shp"]})
+
+    return sorted(r[0] for r in rows.mapInPandas(run, "path string").collect())
 
 
 def _cell(raw: str | None, code: str, width: int, plain: bool = False) -> bytes:

@@ -8,8 +8,8 @@ import pytest
 from parcelflow.plans import catalog
 
 
-#: Nothing stands so to the search box, or is long enough, at this size.
-EMPTY = {"flt2_geometry_contains", "flt2_geometry_touches", "agg9_long_components"}
+#: Their nested loop joins a table with one row that an aggregation gives.
+ONE_ROW = {"key3_slice_backwards", "key5_put", "key6_set1_add", "jn1_merge_skip", "jn1_merge_overwrite", "jn2_merge_images", "snk7_mosaic_offsets"}
 
 
 @pytest.fixture(scope="module")
@@ -33,20 +33,22 @@ def rows(names, data):
 def test_query(spark, sf, con, name):
     df = catalog.QUERIES[name](spark, sf)
     got = df.collect()
-    assert got or name in EMPTY
+    assert got
     rel = con.sql(catalog.SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows(df.columns, got) == rows(rel.columns, rel.fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert name in ONE_ROW or ("NestedLoop" not in plan and "CartesianProduct" not in plan)
 
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
-def test_flagship_plan_has_no_nested_loop(spark, sf):
-    for name in ("udf12_win2_win3_localise", "jn5_nearest_cameras", "jn8_overlap_edges"):
-        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+def test_flagship_reads_little(spark, sf):
+    df = catalog.QUERIES["udf12_win2_win3_localise"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("LogicalRDD") <= 6
 
 
 def test_box_filter_reaches_the_scan(spark, sf, tmp_path):

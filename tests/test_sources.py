@@ -1,6 +1,7 @@
 import gzip
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -87,6 +88,10 @@ def test_shapefile(spark, tmp_path):
     r = shapefile.read(spark, str(tmp_path / "pts.shp")).select("*", F.to_json("attrs").alias("j")).first()
     attrs = json.loads(r["j"])
     assert attrs["n"] == 1 and attrs["f"] == 1.5 and attrs["b"] is True and attrs["tags"] == ["a"] and attrs["o"] == {"k": 1} and (r["minx"], r["miny"]) == (1.5, -2.25)
+    many = shapefile.write(polys.repartition(3), str(tmp_path / "many"))
+    assert all(x.startswith(f"{tmp_path}/many/part-") for x in many)
+    again = shapefile.read(spark, str(tmp_path / "many")).collect()
+    assert {r["id"]: r["geom"] for r in again} == {i: r["geom"] for i, r in got.items()}
     with pytest.raises(ValueError):
         shapefile.write(a.limit(0), str(tmp_path / "e.shp"))
     with pytest.raises(ValueError):
@@ -119,6 +124,109 @@ def test_rasters(spark, tmp_path):
     assert [r["id"] for r in got] == ["in"] and got[0]["w"] >= 14
 
 
+def tiff(px, tile=None, packed=1, predictor=1, order="<", apart=False, small=None):
+    """A TIFF of our own: strips of 7 rows or tiles, packed, differenced, band by band, with an overview."""
+    pages, out = [(px, 0)] + ([(small, 1)] if small is not None else []), bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8))
+    for n, (a, kind) in enumerate(pages):
+        h, w, b = a.shape
+        tw, th = tile or (w, 7)
+        blocks = []
+        for band in range(b if apart else 1):
+            own = a[..., band : band + 1] if apart else a
+            for r in range(0, h, th):
+                for c in range(0, w, tw):
+                    x = own[r : r + th, c : c + tw]
+                    if tile:
+                        x = np.pad(x, ((0, th - x.shape[0]), (0, tw - x.shape[1]), (0, 0)))
+                    if predictor == 2:
+                        x = np.diff(x, axis=1, prepend=np.zeros_like(x[:, :1]))
+                    raw = x.astype(x.dtype.newbyteorder(order)).tobytes()
+                    blocks.append({1: lambda v: v, 5: lzw_packed, 8: zlib.compress, 32773: lambda v: b"".join(bytes([257 - 3]) + v[i : i + 1] if v[i : i + 3] == v[i : i + 1] * 3 else bytes([len(v[i : i + 3]) - 1]) + v[i : i + 3] for i in range(0, len(v), 3))}[packed](raw))
+        entries = [(254, "I", [kind]), (256, "I", [w]), (257, "I", [h]), (258, "H", [a.dtype.itemsize * 8] * b), (259, "H", [packed]), (277, "H", [b]), (284, "H", [2 if apart else 1]), (317, "H", [predictor]), (339, "H", [{"u": 1, "i": 2, "f": 3}[a.dtype.kind]] * b)]
+        entries += [(322, "I", [tw]), (323, "I", [th]), (324, "I", None), (325, "I", [len(x) for x in blocks])] if tile else [(273, "I", None), (278, "I", [th]), (279, "I", [len(x) for x in blocks])]
+        entries.sort()
+        at = len(out)
+        assert at == struct.unpack(order + "I", out[4:8])[0] if n == 0 else True
+        free = at + 6 + 12 * len(entries)
+        offs, body = [], b""
+        for x in blocks:
+            offs.append(free + len(body))
+            body += x
+        free += len(body)
+        rows, extra = b"", b""
+        for tag, f, v in entries:
+            v = offs if v is None else v
+            raw = struct.pack(f"{order}{len(v)}{f}", *v)
+            cell = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", free + len(extra))
+            extra += b"" if len(raw) <= 4 else raw
+            rows += struct.pack(order + "HHI", tag, {"H": 3, "I": 4}[f], len(v)) + cell
+        more = free + len(extra) if n + 1 < len(pages) else 0
+        out += struct.pack(order + "H", len(entries)) + rows + struct.pack(order + "I", more) + body + extra
+    return bytes(out)
+
+
+def lzw_packed(data):
+    table, width, bits, word = {bytes([k]): k for k in range(256)}, 9, [f"{256:09b}"], b""
+    size = 258
+    for k in range(len(data)):
+        x = word + data[k : k + 1]
+        if x in table:
+            word = x
+            continue
+        bits.append(f"{table[word]:0{width}b}")
+        table[x], size = size, size + 1
+        word = data[k : k + 1]
+        if size == 4094:
+            bits.append(f"{256:0{width}b}")
+            table, width, size = {bytes([k]): k for k in range(256)}, 9, 258
+        else:
+            width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    bits += [f"{table[word]:0{width}b}"] if word else []
+    size += 1
+    width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    b = "".join(bits) + f"{257:0{width}b}"
+    return int(b.ljust(-(-len(b) // 8) * 8, "0"), 2).to_bytes(-(-len(b) // 8), "big")
+
+
+@pytest.mark.parametrize("packed", [1, 5, 8, 32773])
+@pytest.mark.parametrize("layout", [{}, {"tile": (16, 16)}, {"order": ">", "apart": True}, {"predictor": 2, "tile": (32, 16)}])
+def test_tiff_layouts_and_windows(tmp_path, packed, layout):
+    r = np.random.default_rng(packed)
+    for kind in (np.uint8, np.uint16):
+        px = (r.integers(0, 40, (45, 70, 3)) ** 2).astype(kind)
+        data = tiff(px, packed=packed, **layout)
+        assert (raster.pixels(data) == px).all()
+        (tmp_path / "x.tif").write_bytes(data)
+        with raster.Ranges(str(tmp_path / "x.tif")) as f:
+            t = raster.directories(f)[0]
+            for a, b, h, w in ((0, 0, 45, 70), (3, 5, 20, 30), (44, 69, 1, 1), (15, 15, 2, 2)):
+                assert (raster.window(f, t, a, b, h, w) == px[a : a + h, b : b + w]).all()
+
+
+def test_long_lzw_and_overviews(monkeypatch):
+    r = np.random.default_rng(3)
+    raw = r.integers(0, 256, 30_000).astype(np.uint8).tobytes() + b"ab" * 9000
+    assert raster.lzw(lzw_packed(raw)) == raw
+    big, small = r.integers(0, 99, (60, 90, 1)).astype(np.uint8), np.full((6, 9, 1), 7, np.uint8)
+    monkeypatch.setattr(raster, "OVERVIEW", 30)
+    assert (raster.overview(tiff(big, small=small)) == small).all()
+    assert (raster.overview(tiff(big)) == big[::3, ::3]).all()
+    monkeypatch.setattr(raster, "OVERVIEW", 90)
+    assert (raster.overview(tiff(big, small=small)) == big).all()
+
+
+def test_patches_meet_rasters_without_a_nested_loop(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.tif").write_bytes(raster.encode(np.full((20, 20, 3), k + 1, np.uint8), k * 2.0, 2.0, 0.1, 0.1))
+    assets = spark.createDataFrame([("a", 0.5, 0.5, 0.9, 0.9), ("b", 1.8, 0.5, 2.2, 0.9), ("c", 9.0, 9.0, 9.1, 9.1)], "id string, minx double, miny double, maxx double, maxy double")
+    df = raster.patches(spark, str(tmp_path), assets, buffer=0.0, square=False)
+    assert {(r["id"], r["path"][-5:]) for r in df.collect()} == {("a", "0.tif"), ("b", "0.tif"), ("b", "1.tif")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    px = raster.read_windows(df.select("id", "path", "row_off", "col_off", "w", "h")).collect()
+    assert {(r["id"], bytes(r["pixels"])[0], len(r["pixels"])) for r in px} == {("a", 1, 48), ("b", 1, 24), ("b", 2, 24)}
+
+
 def varint(n):
     out = b""
     while n > 127:
@@ -156,12 +264,15 @@ def test_tile_images(spark):
 
     box = (-118.2, 34.0, -118.15, 34.04)
     got = imagery.images_in_box(spark, box, fetch, "mem/{z}/{x}/{y}", partitions=2).collect()
+    failed = [r for r in got if r["error"]]
+    assert failed and all("down" in r["error"] and r["id"] is None for r in failed)
+    got = [r for r in got if not r["error"]]
     names = [r["id"] for r in got]
     assert names.count("same") == 1 and len(names) > 2
     r = next(r for r in got if r["id"] != "same")
     assert abs(r["plon"] + 118.18) < 0.1 and abs(r["plat"] - 34.02) < 0.1 and str(r["capture_date"]).startswith("2024-01-0")
-    assert imagery.images_in_box(spark, box, fetch, "mem/{z}/{x}/{y}", creator="8").count() == 1
-    assert imagery.images_in_box(spark, box, fetch, "mem/{z}/{x}/{y}", start="2030-01-01").count() == 0
+    assert imagery.images_in_box(spark, box, fetch, "mem/{z}/{x}/{y}", creator="8").where("error is null").count() == 1
+    assert imagery.images_in_box(spark, box, fetch, "mem/{z}/{x}/{y}", start="2030-01-01").where("error is null").count() == 0
     tiles = imagery.aerial_tiles(spark, (-118.1502, 34.18, -118.15, 34.1802), 18)
     q = tiles.first()
     assert len(q["quadkey"]) == 18 and q["minx"] < -118.15 < q["maxx"] + 0.01
@@ -208,3 +319,79 @@ def test_pictures(spark, tmp_path):
     i = spark.sql("""select 'i' as id, '/p' as path, map('path', parse_json('"own"'), 'q', parse_json('1')) as props""")
     assert pictures.image_table(i, ["path", "q"]).first().asDict() == {"id": "i", "path": "own", "is_downloaded": False, "q": "1"}
     assert json.loads(pictures.image_json(i).first()["json"])["props"] == {"path": "own", "q": 1}
+
+
+def test_jpeg(spark, tmp_path):
+    from parcelflow.kernels import jpeg
+    from parcelflow.sources import pictures
+
+    y, x = np.mgrid[:37, :50]
+    colour = np.stack([x * 5, y * 6, 255 - x * 4], 2).clip(0, 255).astype(np.uint8)
+    grey = ((np.sin(x / 5) + np.cos(y / 7)) * 60 + 128).astype(np.uint8)
+    noise = np.random.default_rng(1).integers(0, 256, (33, 41, 3)).astype(np.uint8)
+    exif = b"Exif\0\0II*\0" + struct.pack("<IHHHIHHI", 8, 1, 274, 3, 1, 6, 0, 0)
+    data = {"c.jpg": jpeg.encode(colour, 95), "g.jpg": jpeg.encode(grey, 95), "n.jpg": jpeg.encode(noise, 100)}
+    data["e.jpg"] = data["c.jpg"][:2] + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + data["c.jpg"][2:]
+    data["bad.jpg"] = b"no"
+    for n, d in data.items():
+        (tmp_path / n).write_bytes(d)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in pictures.load_pictures(spark, str(tmp_path)).collect()}
+    px = lambda n: np.frombuffer(bytes(got[n]["pixels"]), np.uint8).reshape(got[n]["h"], got[n]["w"], -1).astype(int)
+    assert abs(px("c.jpg") - colour).max() < 20 and abs(px("c.jpg") - colour).mean() < 2
+    assert abs(px("g.jpg")[..., 0] - grey).max() < 12 and abs(px("n.jpg") - noise).mean() < 3
+    assert (px("e.jpg") == px("c.jpg")[::-1].swapaxes(0, 1)).all() and jpeg.orientation(data["e.jpg"]) == 6
+    assert got["bad.jpg"]["error"]
+    df = spark.createDataFrame([("k", 37, 50, 3, bytearray(colour.tobytes()))], "id string, h int, w int, channels int, pixels binary")
+    assert bytes(pictures.encoded(df, quality=95).first()["content"]) == data["c.jpg"] and (pictures.png_pixels(bytes(pictures.encoded(df, "png").first()["content"])) == colour).all()
+
+
+def test_orientations():
+    from parcelflow.kernels import jpeg
+
+    a = np.arange(6).reshape(2, 3)
+    want = {1: a, 2: a[:, ::-1], 3: a[::-1, ::-1], 4: a[::-1], 5: a.T, 6: np.rot90(a, -1), 7: np.rot90(a, 2).T, 8: np.rot90(a)}
+    assert all((jpeg.upright(a, k) == w).all() for k, w in want.items())
+
+
+def test_gallery(spark):
+    from parcelflow.sources import pictures
+
+    i = spark.createDataFrame([("a<b", "/d/x.jpg", 40, 30), ("c", "/d/y.jpg", 4, 3)], "id string, path string, w int, h int")
+    p = spark.createDataFrame([("a<b", "roof & wall", [(1.0, 2.0), (3.0, 2.0), (3.0, 4.0)]), ("a<b", "short", [(1.0, 1.0)])], "id string, label string, points array<struct<x:double,y:double>>")
+    got = {r["path"]: bytes(r["content"]).decode() for r in pictures.gallery(i, p).collect()}
+    assert set(got) == {"/d/x.html", "/d/y.html"} and "polygon points" not in got["/d/y.html"]
+    assert '<polygon points="1.0,2.0 3.0,2.0 3.0,4.0"><title>roof &amp; wall</title>' in got["/d/x.html"] and "short" not in got["/d/x.html"] and "<title>a&lt;b</title>" in got["/d/x.html"]
+
+
+def test_images_by_id(spark):
+    def fetch(u):
+        if u.startswith("meta/"):
+            i = u.split("/")[1].split("?")[0]
+            if i == "gone":
+                raise OSError("none")
+            return json.dumps({"id": i, **({} if i == "bare" else {"thumb_original_url": f"pic/{i}"})}).encode()
+        return b"P" + u.encode()
+
+    got = {r["id"]: r for r in imagery.images_by_id(spark, ["x", "gone", "x", "bare"], fetch, "meta/{id}?fields={fields}", ["id", "height", "colour"], partitions=2, tries=1).collect()}
+    assert bytes(got["x"]["content"]) == b"Ppic/x" and json.loads(got["x"]["props"])["id"] == "x" and got["x"]["error"] is None
+    assert "none" in got["gone"]["error"] and got["bare"]["error"] == "no address of a picture" and len(got) == 3
+
+
+def test_datasets(spark, tmp_path):
+    from parcelflow.sources import datasets
+
+    registry = {"Harbour": {"a.tif": "u/a", "b.tif": "u/bad"}, "hillside": {"c.tif": "u/c"}}
+    assert datasets.names_of(registry, [" HARBOUR ", "hillside", "harbour"]) == ["Harbour", "hillside"] and datasets.names_of(registry) == ["Harbour", "hillside"]
+    with pytest.raises(ValueError, match="did you mean 'hillside'"):
+        datasets.names_of(registry, "hillsid")
+    with pytest.raises(ValueError, match="there are"):
+        datasets.names_of(registry, "zzz")
+
+    def fetch(u):
+        if u == "u/bad":
+            raise OSError("gone")
+        return u.encode()
+
+    run = lambda: {r["path"].rsplit("/", 1)[1]: r["status"] for r in datasets.download(spark, registry, "harbour", str(tmp_path), fetch, tries=1).collect()}
+    assert run() == {"a.tif": "saved", "b.tif": "failed"} and run() == {"a.tif": "kept", "b.tif": "failed"}
+    assert (tmp_path / "Harbour" / "a.tif").read_bytes() == b"u/a"
