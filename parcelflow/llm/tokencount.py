@@ -38,9 +38,15 @@ TAIL = math.inf
 
 @dataclass
 class Pieces:
-    """ends: the score of every piece, and TAIL for what only ends longer ones, so that the way back from a node stops where no piece can end."""
+    """ends: the score of every piece, and TAIL for what only ends longer ones, so that the way back from a node stops where no piece can end. counter: what a worker has counted with them so far, in all its tasks."""
 
     ends: dict[bytes, float]
+    counter: Counter | None = None
+
+    def known(self) -> Counter:
+        if self.counter is None:
+            self.counter = Counter(self)
+        return self.counter
 
 
 def load(path: str = VOCABULARY) -> Pieces:
@@ -132,7 +138,7 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     v = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches):
-        c = Counter(v.value)
+        c = v.value.known()
         for b in batches:
             for i, j, buf, offs in tk.plain_chunks(b.column("text")):
                 n, t, s = c.of(buf, offs)

@@ -1,8 +1,8 @@
 """A content-addressed WARC archive.
 
 archive() parts raw records into `heads` (each record's exact header block, its payload's digest) and `payloads` (each
-distinct payload once, by SHA-256). Equal digests are verified: all payloads that share one must be equal byte for byte (the least and the
-greatest of them are the same), the stored payload must hash to its digest, and a rebuilt record must hash to what the original record did.
+distinct payload once, by SHA-256). Equal digests are verified: all payloads that share one must be equal byte for byte (the set of them
+has one member), the stored payload must hash to its digest, and a rebuilt record must hash to what the original record did.
 reconstruct() joins them to the original bytes. A payload crosses the network once, copies being put together before the shuffle: the
 grouping by digest and the joining by digest use the same partitioning. Heads of a digest with over HOT copies are spread
 over as many tasks as they need, and its payload is sent to each.
@@ -57,8 +57,9 @@ def archive(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = raw.where("raw is not null")
     parts = split(whole).withColumn("digest", F.sha2("payload", 256))
     heads = parts.select("page_id", "head", "tail", "digest", F.sha2(F.concat("head", "payload", "tail"), 256).alias("record_digest"))
-    payloads = parts.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("__high"), F.count(F.lit(1)).alias("copies"))
-    payloads = payloads.select("digest", "payload", "copies", ((F.col("payload") == F.col("__high")) & (F.sha2("payload", 256) == F.col("digest"))).alias("verified"))
+    payloads = parts.groupBy("digest").agg(F.collect_set("payload").alias("__all"), F.count(F.lit(1)).alias("copies"))
+    payloads = payloads.select("digest", F.array_min("__all").alias("payload"), "copies", (F.size("__all") == 1).alias("__one"))
+    payloads = payloads.select("digest", "payload", "copies", (F.col("__one") & (F.sha2("payload", 256) == F.col("digest"))).alias("verified"))
     return heads, payloads
 
 

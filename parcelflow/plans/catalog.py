@@ -1142,3 +1142,175 @@ def udf3_udf8_batches(spark, d):
 def snk8_summary_text(spark, d):
     text = C.summary_text(fx.attributed(spark, d))
     return spark.createDataFrame([(text.split("\n")[0],)], "line string")
+
+
+# ---- pictures, fetches, extractions, regularisers, streams ----
+
+
+def _apart(spark, d):
+    """Assets moved apart by a thousand units each, as rings."""
+    x0, y0, x1, y1 = boxes.Box(F.col("minx") + F.col("k") * 1000, F.col("miny"), F.col("maxx") + F.col("k") * 1000, F.col("maxy"))
+    return fx.assets(spark, d).select("id", "k", F.array(_rectangle(x0, y0, x1, y1)).alias("rings"))
+
+
+@query(_with(AS, "select id from fx_assets where k % 3 = 0"))
+def flt7_src19_downloaded(spark, d):
+    """Files are written for a third of the rows; only those have one."""
+    from parcelflow.sources import imagery, pictures
+
+    at = _plain(_folder(spark, "files"))
+    rows = fx.assets(spark, d).select("id", "k", F.concat(F.lit(f"{at}/"), "id", F.lit(".jpg")).alias("path"))
+    saved = pictures.save_files(rows.where("k % 3 = 0").select("path", F.encode("id", "UTF-8").alias("content")))
+    if saved.where("status <> 'saved'").count():
+        raise OSError(f"{at} can't be written")
+    return imagery.present(spark, rows, at).select("id")
+
+
+@query("select event_id as id, coalesce(case when event_id % 2 = 0 then 'own' end, 'p' || event_id) as path, false as is_downloaded, (event_id % 7)::varchar as q from events")
+def snk5_image_table(spark, d):
+    from parcelflow.sources import pictures
+
+    e = fx.read(spark, d, "events")
+    q = F.map_from_arrays(F.array(F.lit("q"), F.lit("path")), F.array((F.col("event_id") % 7).cast("variant"), F.when(F.col("event_id") % 2 == 0, F.lit("own")).cast("variant")))
+    return pictures.image_table(e.select(F.col("event_id").alias("id"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("path"), q.alias("props")), ["path", "q"])
+
+
+@query("select c_custkey as id, 12 * (c_custkey % 5 + 1) as painted, c_custkey % 200 + 1 as top from customer")
+def src13_src20_snk6_painted_masks(spark, d):
+    """Two detections painted over each other, saved as a mask and read again."""
+    import numpy as np
+
+    from parcelflow.kernels import mask as M
+    from parcelflow.kernels import polygon as P
+    from parcelflow.sources import pictures
+
+    at = _plain(_folder(spark, "masks"))
+    square = lambda w: [P.ring([(1, 1), (1 + w, 1), (1 + w, 5), (1, 5)])]
+
+    def paint(it):
+        for pdf in it:
+            px = [M.paint((8, 20), [(7, square(1)), (int(k % 200 + 1), square(int(3 * (k % 5 + 1))))]) for k in pdf["id"]]
+            yield pdf.assign(path=[f"{at}/{k}.jpg" for k in pdf["id"]], mask=[p.astype(np.uint8).tobytes() for p in px], h=8, w=20)[["path", "h", "w", "mask"]]
+
+    masks = fx.read(spark, d, "customer").select(F.col("c_custkey").alias("id")).mapInPandas(paint, "path string, h int, w int, mask binary")
+    if pictures.save_files(pictures.mask_files(masks, "semantic")).where("status <> 'saved'").count():
+        raise OSError(f"{at} can't be written")
+
+    def read(it):
+        for pdf in it:
+            px = [np.frombuffer(bytes(b), np.uint8) for b in pdf["pixels"]]
+            yield pdf.assign(id=[int(p.rsplit("/", 1)[1].split("_")[0]) for p in pdf["path"]], painted=[int((x > 0).sum()) for x in px], top=[int(x.max()) for x in px])[["id", "painted", "top"]]
+
+    return pictures.load(spark, at).mapInPandas(read, "id bigint, painted bigint, top bigint")
+
+
+@query(_with(f"{AS}, {_DEG}", "select id, round((x1 - x0) * (y1 - y0) * 1e9, 4) as area from d"))
+def src15_polygon_tiles(spark, d):
+    """The parts of a polygon in its tiles add up to its area."""
+    from parcelflow.operators import footprints
+
+    p = _degrees(spark, d).select("id", F.array(_rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("rings"))
+    return footprints.polygon_tiles(p, "id", 20).groupBy("id").agg(F.round(F.sum("area") * 1e9, 4).alias("area"))
+
+
+@query("select distinct 'i' || event_id % 40 as id, case event_id % 40 % 3 when 0 then null else 'pic/i' || event_id % 40 end as content, case event_id % 40 % 3 when 0 then 'OSError: gone' end as error from events")
+def src10_src11_images_by_id(spark, d):
+    """Metadata, then pictures, of forty images; a third can't be had, each request that can fails once before."""
+    import json
+
+    from parcelflow.sources import imagery
+
+    failed: set = set()
+
+    def fetch(u):
+        i = int(u.rpartition("/i")[2])
+        if i % 3 == 0:
+            raise OSError("gone")
+        if u not in failed:
+            failed.add(u)
+            raise OSError("try again")
+        return json.dumps({"thumb_original_url": f"pic/i{i}"}).encode() if u.startswith("meta/") else u.encode()
+
+    ids = [f"i{k}" for k in range(40)]  # a caller's list
+    return imagery.images_by_id(spark, ids, fetch, "meta/{id}", tries=2).select("id", F.decode("content", "UTF-8").alias("content"), "error")
+
+
+@query(_with(AS, "select 'building_' || k || '_0' as id, ((maxx - minx) * (maxy - miny))::double as area from fx_assets where k % 3 > 0"))
+def udf14_regularised_buildings(spark, d):
+    """Detections of an asset, the second half a repeat of the first, against its seed; those elsewhere match nothing."""
+    from parcelflow.operators import footprints
+
+    a = _apart(spark, d)
+    det = a.select(F.col("id").alias("asset_id"), F.col("k").alias("did"), F.when(F.col("k") % 3 > 0, F.col("rings")).otherwise(F.array(_rectangle(F.lit(-900), F.lit(-900), F.lit(-899), F.lit(-899)))).alias("rings"))
+    got = footprints.regularise_buildings(det, a.select(F.col("id").alias("asset_id"), "rings"), 300)
+    return footprints.measure(got).select("id", F.round("area", 4).alias("area"))
+
+
+@query("select n_nationkey as id, 1 as lines, true as wide, true as along from nation")
+def udf15_gm13_gm16_roads(spark, d):
+    """A straight road surface gives one middle line along it, about as wide as it is."""
+    from parcelflow.operators import footprints
+
+    n = F.col("n_nationkey")
+    wide, long = 30 + n % 4 * 5, 700 + n % 5 * 40
+    p = fx.read(spark, d, "nation").select(n.alias("id"), wide.alias("w"), long.alias("l"), F.array(_rectangle(F.lit(0), F.lit(0), wide, long)).alias("rings"))
+    centre, _ = footprints.regularise_roads(p)
+    fits = centre.join(p.select("id", "w", "l"), "id").select("id", (F.abs(F.col("width") - F.col("w")) < 3).alias("wide"), ((F.col("length") > 0.7 * F.col("l")) & (F.col("length") <= F.col("l"))).alias("along"))
+    return fits.groupBy("id").agg(F.count(F.lit(1)).alias("lines"), F.min("wide").alias("wide"), F.min("along").alias("along"))
+
+
+@query(_with(f"{AS}, {_RASTERS}", f"""select id || '_' || rid as id, id as asset_id from (select id, rid, {_WINDOW.format('r.maxy - a.maxy')} as r0, {_WINDOW.format('a.minx - r.minx')} as c0, {_WINDOW.format('r.maxy - a.miny')} as r1, {_WINDOW.format('a.maxx - r.minx')} as c1
+from fx_assets a join rasters r on a.minx <= r.maxx and a.maxx >= r.minx and a.miny <= r.maxy and a.maxy >= r.miny) where r1 > r0 and c1 > c0"""))
+def udf11_aerial_images(spark, d):
+    """A picture of each asset from each raster that it meets."""
+    from parcelflow.plans import extract
+
+    got = extract.aerial_images(spark, _written_rasters(spark), fx.assets(spark, d), _plain(_folder(spark, "aerial")), buffer=0.0, geographic=False, square=False)
+    return got.where("error is null").select("id", "asset_id")
+
+
+@query(_with(_RASTERS, "select rid, (rid % 5 + 1) * 200.0::double * 300.0 as area from rasters"))
+def udf10_agg7_ortho_assets(spark, d):
+    """A model that outlines one shape a raster, in pixels of its tile; its size goes by the raster."""
+    from parcelflow.models import base
+    from parcelflow.operators import footprints
+    from parcelflow.plans import extract
+
+    class Outlines(base.Backend):
+        def run(self, images, prompt, **options):
+            n = int(images[0].rpartition("/")[2].split("_")[0])
+            w = 2 * (n % 5 + 1)
+            return base.ModelOutput(masks=[[[2, 3], [2 + w, 3], [2 + w, 6], [2, 6]]])
+
+    got = extract.ortho_assets(spark, _written_rasters(spark), Outlines, "roofs", _plain(_folder(spark, "tiles")), 1000.0, patch=32, most_missing=0.9)
+    rid = F.regexp_extract("root", r"/([0-9]+)_0_0\.png", 1).cast("bigint").alias("rid")
+    return footprints.measure(got.select(rid, "rings"), "rid").select("rid", F.round("area", 4).alias("area"))
+
+
+@query(_with(AS, "select id as asset_id, 'i' || k as image_id, (k % 3)::double as x1 from fx_assets where k % 4 > 0"))
+def udf9_str5_segments(spark, d):
+    """Boxes that a model finds on assets' images, joined back by key."""
+    from parcelflow.models import base, steps
+
+    class Boxes(base.Backend):
+        def run(self, images, prompt, **options):
+            n = int(images[0].rpartition("/")[2])
+            return base.ModelOutput(boxes=[[0.0, 0.0, float(n % 3), 1.0]]) if n % 4 else None
+
+    a = fx.assets(spark, d)
+    images = a.select(F.col("id").alias("asset_id"), F.concat(F.lit("i"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("/x/"), F.col("k").cast("string")).alias("path"))
+    return steps.segment(a.select("id"), images, Boxes, ["roof", "wall"]).select("asset_id", "image_id", F.col("box")[2].alias("x1"))
+
+
+@query("select event_type, count(*) as n from (select distinct event_id, event_type from events) group by event_type")
+def stream_fresh_counts(spark, d):
+    """A stream of images with every row twice, counted once, by a query that runs to the end of its input."""
+    from parcelflow.streaming import ingest
+
+    at, name = _folder(spark, "stream"), f"s{uuid.uuid4().hex}"
+    e = fx.read(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e.union(e).repartition(2).write.parquet(f"{at}/in")
+    fresh = ingest.fresh_images(spark.readStream.schema(e.schema).parquet(f"{at}/in"), "3650 days")
+    q = fresh.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -41,9 +41,9 @@ def street_images(assets: DataFrame, cameras: DataFrame, fetch: imagery.Fetch, f
     return x.select(F.col("image_id").alias("id"), F.col("id").alias("asset_id"), F.col("place").alias("ord"), "path", props.alias("props"), F.coalesce("__e", "__s").alias("error"))
 
 
-def aerial_images(spark: SparkSession, rasters: str, assets: DataFrame, folder: str, buffer: float | str = "20%", most_missing: float = 0.2, geographic: bool = True) -> DataFrame:
+def aerial_images(spark: SparkSession, rasters: str, assets: DataFrame, folder: str, buffer: float | str = "20%", most_missing: float = 0.2, geographic: bool = True, square: bool = True) -> DataFrame:
     """IMAGE rows of the assets' windows in the rasters that they meet, scaled from p1 to p99 of each raster (of its first band) where it has more than 8 bits of use, saved as folder/{asset}_{raster}.jpg."""
-    w = raster.patches(spark, rasters, assets, buffer, most_missing, geographic=geographic)
+    w = raster.patches(spark, rasters, assets, buffer, most_missing, square, geographic)
     stats = raster.statistics(spark, rasters).where("band = 0").select("path", "p1", "p99")
     px = raster.read_windows(w.join(stats, "path").select("id", "path", "row_off", "col_off", "w", "h", *boxes.Box._fields, "missing", "p1", "p99"))
     name = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)

@@ -74,9 +74,7 @@ def test_against_brute_force(spark):
 def test_hot_tokens_and_split_groups(spark, monkeypatch):
     rows = corpus(6)
     monkeypatch.setattr(J, "HOT", 3)
-    monkeypatch.setattr(J, "GROUP", 2)
-    assert got(frame(spark, rows)) == brute(rows)
-    monkeypatch.setattr(J, "GROUP", 2048)
+    monkeypatch.setattr(J, "GROUP", 3)
     monkeypatch.setattr(J, "GROUP_TOKENS", 100)
     assert got(frame(spark, rows)) == brute(rows)
 
@@ -108,15 +106,13 @@ def test_odd_rows(spark, odd, empty):
 
 def test_ids_that_repeat(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
-    for rows in ([(1, a), (5, a), (5, c)], [(1, a), (2, b), (5, a), (5, b + " more")], [(5, a), (1, a), (5, a), (5, a + " x"), (7, ""), (7, c), (None, a)]):
-        df = frame(spark, rows)
-        assert got(df) == brute(rows)
-        kept = [(r["doc_id"], r["text"]) for r in J.stage(spark, df, "").collect()]
-        sets = [grams(t) for i, t in kept if i is not None and t]
-        assert set(kept) <= set(rows) and not any(near(x, y) for k, x in enumerate(sets) for y in sets[:k])
-        assert all(any(near(grams(t), s) for s in sets) for i, t in rows if i is not None and t)  # no text is lost
-    assert {(r["doc_id"], r["text"]) for r in J.stage(spark, frame(spark, [(1, a), (5, a), (5, c)]), "").collect()} == {(1, a), (5, c)}
-    assert {(r["doc_id"], r["text"]) for r in J.stage(spark, frame(spark, [(5, a), (1, a), (3, c), (3, c)]), "").collect()} == {(1, a), (3, c)}
+    rows = [(5, a), (1, a), (5, a), (5, a + " x"), (5, c), (7, ""), (7, b), (2, b), (7, b + " more"), (8, c + " y"), (None, a)]
+    df = frame(spark, rows)
+    assert got(df) == brute(rows)
+    kept = [(r["doc_id"], r["text"]) for r in J.stage(spark, df, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (5, c), (7, ""), (2, b), (None, a)], key=repr)  # no text is lost, and of each class the smallest id stays
+    one = frame(spark, [(1, a), (5, a), (5, c)])
+    assert {(r["doc_id"], r["text"]) for r in J.stage(spark, one, "").collect()} == {(1, a), (5, c)}
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -1,3 +1,4 @@
+import re
 import shutil
 from collections import defaultdict
 
@@ -5,6 +6,8 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from test_decontaminate import toks
+from test_jaccard import grams, near
 from parcelflow.llm import decontaminate, jaccard, packing, secrets, toxicity
 from parcelflow.llm import textkit as tk
 
@@ -15,8 +18,9 @@ def steps(spark):
     docs = tk.table(spark, d, "documents")
     out = [docs.collect()]
     for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, d).collect(), stage(spark, docs, d).schema)
-        out.append(docs.collect())
+        got = stage(spark, docs, d)
+        out.append(got.collect())
+        docs = spark.createDataFrame(out[-1], got.schema)
     return d, out
 
 
@@ -34,9 +38,12 @@ def test_each_decision_takes_effect(spark, steps):
     ids = [{r["doc_id"] for r in step} for step in out]
     toxic = {r["doc_id"] for r in toxicity.score(frame(out[0]), toxicity.fit(frame(out[0]), tk.table(spark, d, "labels"))).collect() if r["toxic"]}
     assert toxic and ids[1] == ids[0] - toxic
+    sets = [(r["doc_id"], grams(r["text"])) for r in out[1] if r["text"] and grams(r["text"])]
     linked = defaultdict(set)
-    for p in jaccard.near_pairs(frame(out[1])).collect():
-        linked[p["doc_a"]].add(p["doc_b"]), linked[p["doc_b"]].add(p["doc_a"])
+    for k, (a, x) in enumerate(sets):  # all pairs
+        for b, y in sets[:k]:
+            if min(len(x), len(y)) >= jaccard.T * max(len(x), len(y)) - 1e-9 and near(x, y):
+                linked[a].add(b), linked[b].add(a)
     kept = set()
     seen: set = set()
     for i in sorted(ids[1]):
@@ -51,6 +58,15 @@ def test_each_decision_takes_effect(spark, steps):
     assert ids[2] == kept and len(kept) < len(ids[1])
     leaked = {r["doc_id"] for r in decontaminate.contaminated(frame(out[2]), tk.table(spark, d, "benchmark")).collect()}
     assert leaked and ids[3] == ids[2] - leaked
+    items = [f" {' '.join(toks(r['text']))} " for r in tk.table(spark, d, "benchmark").collect()]
+    whole = {r["doc_id"] for r in out[2] if any(i in f" {' '.join(toks(r['text']))} " for i in items)}
+    assert whole and whole <= leaked
+    pairs_of = lambda t: set(zip(toks(t), toks(t)[1:]))
+    known = set().union(*(pairs_of(i) for i in items))
+    assert all(len(pairs_of(r["text"]) & known) >= 5 for r in out[2] if r["doc_id"] in leaked)
+    texts = {r["doc_id"]: r["text"] for r in out[3]}
+    changed = [r for r in out[4] if r["text"] != texts[r["doc_id"]]]
+    assert changed and all(re.fullmatch(".*".join(map(re.escape, r["text"].split(secrets.MASK))), texts[r["doc_id"]], re.S) for r in changed)
     assert ids[4] == ids[3] and not any(r["secret"] for r in secrets.scan(frame(out[4])).collect()) and any(r["secret"] for r in secrets.scan(frame(out[3])).collect())
     assert {r["doc_id"] for r in out[5]} == ids[4]
     slots = defaultdict(list)
