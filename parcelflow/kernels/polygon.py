@@ -21,7 +21,8 @@ def ring(points) -> np.ndarray:
 
 
 def signed_area(r: np.ndarray) -> float:
-    x, y = r[:, 0], r[:, 1]
+    """About the first corner, so that small rings far from the origin keep their digits."""
+    x, y = (r - r[:1]).T
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
 
 
