@@ -14,6 +14,8 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from parcelflow.session import spread
+
 
 @dataclass
 class ModelOutput:
@@ -26,6 +28,8 @@ class ModelOutput:
 Request = tuple[list[str], str]
 #: Threads of one task at most.
 MOST_THREADS = 10
+#: Characters of answers that a task holds before it hands them on.
+HELD = 1 << 24
 
 
 class Backend:
@@ -38,7 +42,9 @@ class Backend:
 
     def run_batch(self, requests: list[Request], threads: int = 1) -> list[tuple[ModelOutput | None, str | None]]:
         """(output, error) of each request, in their order. Models that take a batch at once override this."""
-        with ThreadPoolExecutor(max(1, min(threads, len(requests), MOST_THREADS))) as pool:
+        if min(threads, len(requests)) <= 1:
+            return [self._safely(r) for r in requests]
+        with ThreadPoolExecutor(min(threads, len(requests), MOST_THREADS)) as pool:
             return list(pool.map(self._safely, requests))
 
     def _safely(self, request: Request) -> tuple[ModelOutput | None, str | None]:
@@ -128,16 +134,25 @@ def with_retry(call: Callable[[], object], tries: int = 5, base: float = 0.5, sl
 
 
 def infer(df: DataFrame, backend: Callable[[], Backend], prompt: str, key: str = "id", images: str = "paths", batch: int = 4, most_images: int | None = None, cooldown: float = 0.0, threads: int = 1) -> DataFrame:
-    """key, status (ok or failed), text, boxes, masks, error: the model's answer for each row. Each task makes one backend and hands it `batch` requests at a time, of which up to `threads` run at once; after failures it waits cooldown times their number in a row. Rows never raise."""
+    """key, status (ok or failed), text, boxes, masks, error: the model's answer for each row. Each task makes one backend and hands it `batch` requests at a time, of which up to `threads` run at once; after failures it waits cooldown times their number in a row. Rows never raise. Rows are spread over the cluster; answers leave a task in batches as large as those that the rows came in, or of HELD characters."""
     text = resolve_text(prompt)
 
     def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Cooling(backend(), cooldown) if cooldown else backend()
+        frame = lambda out: pd.DataFrame(out, columns=[key, "status", "text", "boxes", "masks", "error"])
         for pdf in it:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                got = model.run_batch([((list(p) if p is not None else [])[:most_images], text) for p in part[images]], threads)
-                out = [(k, "ok" if r is not None else "failed", r.text if r else None, json.dumps(r.boxes) if r else None, json.dumps(r.masks) if r else None, e) for k, (r, e) in zip(part[key], got)]
-                yield pd.DataFrame(out, columns=[key, "status", "text", "boxes", "masks", "error"])
-
-    return df.select(key, images).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, status string, text string, boxes string, masks string, error string")
+            keys, paths = list(pdf[key]), list(pdf[images])
+            out: list = []
+            size = 0
+            for at in range(0, len(keys), batch):
+                got = model.run_batch([((list(p) if p is not None else [])[:most_images], text) for p in paths[at : at + batch]], threads)
+                new = [(k, "ok" if r is not None else "failed", r.text if r else None, json.dumps(r.boxes) if r else None, json.dumps(r.masks) if r else None, e) for k, (r, e) in zip(keys[at : at + batch], got)]
+                out += new
+                size += sum(len(v) for row in new for v in row[2:] if v)
+                if size > HELD:
+                    yield frame(out)
+                    out, size = [], 0
+            if out:
+                yield frame(out)
+
+    return spread(df.select(key, images)).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, status string, text string, boxes string, masks string, error string")

@@ -27,3 +27,13 @@ def test_forest_keeps_a_trees_edges():
     e = pd.DataFrame([(0, a, b, float((a * 7 + b * 3) % 11)) for a in range(20) for b in range(a + 1, 20)], columns=["group", "a", "b", "w"])
     parts = pd.concat([graph._forest(e.iloc[::2]), graph._forest(e.iloc[1::2])])
     assert len(parts) == 38 and graph._forest(parts)["w"].max() == graph._forest(e)["w"].max()
+
+
+def test_models_get_rows_from_all_tasks(spark):
+    from parcelflow.models import base
+
+    df = spark.range(0, 500, 1, 1).select(F.col("id"), F.array(F.col("id").cast("string")).alias("paths"))
+    got = base.infer(df, lambda: base.BatchBackend(lambda r: [base.ModelOutput(i[0], boxes=[[len(r)]]) for i, _ in r]), "p", batch=4)
+    assert got.rdd.getNumPartitions() > 4
+    assert sorted((r["id"], r["text"]) for r in got.collect()) == [(k, str(k)) for k in range(500)]
+    assert got.where(F.get_json_object("boxes", "$[0][0]").cast("int") > 4).isEmpty()
