@@ -37,3 +37,54 @@ def test_models_get_rows_from_all_tasks(spark):
     assert got.rdd.getNumPartitions() > 4
     assert sorted((r["id"], r["text"]) for r in got.collect()) == [(k, str(k)) for k in range(500)]
     assert got.where(F.get_json_object("boxes", "$[0][0]").cast("int") > 4).isEmpty()
+
+
+def test_kernels_of_batches_agree_with_those_of_one():
+    import numpy as np
+    import pytest
+
+    from parcelflow.kernels import batch as B
+    from parcelflow.kernels import polygon as P
+
+    r = np.random.default_rng(4)
+
+    def star(n):
+        t = np.sort(r.uniform(0, 2 * np.pi, n))
+        return np.stack([np.cos(t), np.sin(t)], 1) * r.uniform(0.4, 2, n)[:, None] + r.uniform(-1, 1, 2)
+
+    square = lambda a, b: np.array([(a, a), (b, a), (b, b), (a, b)], float)
+    g = [[star(k % 6 + 4)] for k in range(40)] + [[square(0, 9), square(1, 8), square(2, 7)], [square(0, 4), square(4, 8)], [square(0, 4), square(9, 10)], []]
+    h = [[star(7)] for _ in g]
+    b, c = B.of(g), B.of(h)
+    assert B.areas(b) == pytest.approx([P.area(x) for x in g])
+    assert B.areas(B.intersection(b, c)) == pytest.approx([P.area(P.intersection(x, y)) for x, y in zip(g, h)])
+    assert B.areas(B.difference(b, c)) == pytest.approx([P.area(P.difference(x, y)) for x, y in zip(g, h)])
+    assert B.areas(B.wall_cut(b, c)) == pytest.approx([P.area(P.wall_cut(x, y)) for x, y in zip(g, h)])
+    assert [len(x) for x in B.fill_holes(b).regions()] == [len(P.fill_holes(x)) for x in g]
+    group = np.arange(len(g)) // 3
+    clipped = [x for k in range(group[-1] + 1) for x in P.clip_in_order([y for y, q in zip(g, group) if q == k])]
+    assert B.areas(B.clip_in_order(b, group)) == pytest.approx([P.area(x) for x in clipped])
+
+    def belt(x, d):  # by the union of the edges' capsules
+        caps = [P.capsule(p, q, abs(d)) for p, q in P._edges(x)]
+        return P.union(x, *caps) if d > 0 else P.combine([x, *caps], lambda m: m[0] & ~np.logical_or.reduce(m[1:]))
+
+    few = g[:4] + g[-4:-1]
+    for d in (0.3, -0.2, -2.5):
+        assert B.areas(B.buffer(B.of(few), d)) == pytest.approx([P.area(belt(x, d)) for x in few], abs=2e-3, rel=1e-3)
+
+
+def test_corners_far_from_the_origin_stay():
+    import numpy as np
+
+    from parcelflow.kernels import polygon as P
+
+    far = np.array([(9e8, 3e7), (9e8 + 150, 3e7), (9e8 + 150, 3e7 + 140), (9e8, 3e7 + 140)])
+    assert len(P.ring(far)) == 4 and len(P.ring([*far, far[0]])) == 4 and P.centroid(P.ring(far)) == (9e8 + 75, 3e7 + 70)
+
+
+def test_footprints_are_spread(spark):
+    from parcelflow.operators import footprints
+
+    df = spark.range(0, 100, 1, 1).selectExpr("id", "array(array(struct(0D as x, 0D as y), struct(1D as x, 0D as y), struct(1D as x, 1D as y))) as rings")
+    assert footprints.buffered(df, 1.0).rdd.getNumPartitions() > 4 and footprints.measure(footprints.filled(df)).count() == 100
