@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import attrs as A
 from parcelflow.operators.keyed import keep_first
+from parcelflow.session import spread
 
 POINT = "struct<x:double,y:double>"
 GEOMETRY = f"struct<type:string,parts:array<array<array<{POINT}>>>>"
@@ -126,9 +127,9 @@ def coordinates_json(geom: Column) -> Column:
 
 
 def features(assets: DataFrame, images: DataFrame | None = None, ignore: list[str] | None = None) -> DataFrame:
-    """ord, feature: each asset as GeoJSON text. Its images are a property image_assets, if it has any and that isn't ignored."""
+    """ord, feature: each asset as GeoJSON text, made in spread tasks. Its images are a property image_assets, if it has any and that isn't ignored."""
     skip = list(ignore or [])
-    a = assets.select("id", "ord", "geom", A.without(F.col("attrs"), *skip).alias("attrs"))
+    a = spread(assets.select("id", "ord", "geom", A.without(F.col("attrs"), *skip).alias("attrs")))
     if images is not None and "image_assets" not in skip:
         own = F.struct("ord", "id", "path", "props")
         i = images.groupBy("asset_id").agg(F.sort_array(F.collect_list(own)).alias("i")) if "props" not in images.columns else images.select("asset_id", F.struct("ord", F.to_json(F.struct("id", "path", "props")).alias("j")).alias("e")).groupBy("asset_id").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["j"]).alias("i"))

@@ -88,3 +88,13 @@ def test_footprints_are_spread(spark):
 
     df = spark.range(0, 100, 1, 1).selectExpr("id", "array(array(struct(0D as x, 0D as y), struct(1D as x, 0D as y), struct(1D as x, 1D as y))) as rings")
     assert footprints.buffered(df, 1.0).rdd.getNumPartitions() > 4 and footprints.measure(footprints.filled(df)).count() == 100
+
+
+def test_files_and_features_are_spread(spark):
+    from parcelflow.sources import geojson, pictures
+
+    df = spark.range(0, 100, 1, 1)
+    point = "struct('Point' as type, array(array(array(struct(1D as x, 2D as y)))) as parts)"
+    a = df.selectExpr("cast(id as string) as id", "id as ord", f"{point} as geom", "map('a', cast(1 as variant)) as attrs")
+    assert geojson.features(a).rdd.getNumPartitions() > 4
+    assert pictures.save_files(df.selectExpr("cast(id as string) as path", "cast('x' as binary) as content")).rdd.getNumPartitions() > 4
