@@ -98,3 +98,42 @@ def test_files_and_features_are_spread(spark):
     a = df.selectExpr("cast(id as string) as id", "id as ord", f"{point} as geom", "map('a', cast(1 as variant)) as attrs")
     assert geojson.features(a).rdd.getNumPartitions() > 4
     assert pictures.save_files(df.selectExpr("cast(id as string) as path", "cast('x' as binary) as content")).rdd.getNumPartitions() > 4
+
+
+def joined(df):
+    """df's rows, the most rows that a join of its plan gave, and whether it broadcast any."""
+    got = df.collect()
+    rows, names = [0], []
+
+    def walk(p):
+        name = p.nodeName()
+        names.append(name)
+        if "Join" in name:
+            rows.append(p.metrics().apply("numOutputRows").value())
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else []
+        below = p.children()
+        for q in [*inner, *(below.apply(k) for k in range(below.size()))]:
+            walk(q)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return got, max(rows), any("Broadcast" in n for n in names)
+
+
+def dense(spark, n=20000):
+    """Cameras packed in a square of which a few assets lie on, and others far off."""
+    points = spark.range(n).selectExpr("id as event_id", "(id * 7919) % 1009 as x", "(id * 104729) % 997 as y")
+    targets = spark.range(30).selectExpr("concat('a', id) as id", "id * 97 % 1000 + if(id % 3 = 0, 5000, 0) as x", "id * 59 % 1000 as y")
+    return points, targets
+
+
+def test_camera_join_compares_the_near(spark):
+    from parcelflow.operators import spatial
+
+    p, t = dense(spark)
+    degrees = lambda df, x, y: df.withColumns({x: F.lit(-118.15) + F.col("x") / 1e6, y: F.lit(34.18) + F.col("y") / 1e6}).drop("x", "y")
+    p, t = degrees(p, "plon", "plat"), degrees(t, "lon", "lat")
+    got, most, _ = joined(spatial.camera_join(t, p, most=100))
+    assert most < 20 * 1000  # of all pairs within the radius it would be 20 * 20000
+    points, assets = p.collect(), [a for a in t.collect() if a["lon"] < -118.148]
+    want = {(a["id"], e["event_id"]) for a in assets for e in sorted(points, key=lambda e: ((e["plon"] - a["lon"]) ** 2 + (e["plat"] - a["lat"]) ** 2, e["event_id"]))[:100]}
+    assert {(r["id"], r["event_id"]) for r in got} == want and len(got) == 2000
