@@ -137,3 +137,36 @@ def test_camera_join_compares_the_near(spark):
     points, assets = p.collect(), [a for a in t.collect() if a["lon"] < -118.148]
     want = {(a["id"], e["event_id"]) for a in assets for e in sorted(points, key=lambda e: ((e["plon"] - a["lon"]) ** 2 + (e["plat"] - a["lat"]) ** 2, e["event_id"]))[:100]}
     assert {(r["id"], r["event_id"]) for r in got} == want and len(got) == 2000
+
+
+def copies(spark, sf, folder, n, far=152000):
+    """The tables of the rays' queries with events n times, each copy at the places of the first."""
+    spark.read.parquet(f"{sf}/customer.parquet").write.parquet(f"{folder}/customer.parquet")
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    e.crossJoin(spark.range(n).select(F.col("id").alias("__n"))).withColumn("event_id", F.col("event_id") + F.col("__n") * far).drop("__n").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_rays_take_one_camera_of_a_place(spark, sf, tmp_path):
+    from parcelflow.plans import catalog
+
+    one, pairs, _ = joined(catalog.jn6_win1_best_by_ray(spark, sf))
+    many, of_many, broadcast = joined(catalog.jn6_win1_best_by_ray(spark, copies(spark, sf, tmp_path, 6)))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and any(r["event_id"] is not None for r in one)
+    assert of_many == pairs and not broadcast
+
+
+def test_best_of_rays_needs_no_sort(spark):
+    from parcelflow.operators import spatial
+
+    rows = [(f"a{k % 5}", k % 4, "face", (k * 37) % 101 / 10 + (k % 3) * 1e-8, (k * 7919) % 997 - 500 + (k % 2) * (2**63 - 1000)) for k in range(2000)]
+    m = spark.createDataFrame([*rows, ("a9", 0, "face", 9.87654321, -(2**63)), ("a9", 90, "face", 0.0, 2**63 - 1)], "id string, angle int, axis string, perp double, event_id bigint")
+    want = {}
+    for r in m.collect():
+        want.setdefault((r["id"], r["angle"]), []).append((round(r["perp"], 6), r["event_id"]))
+    want = {k: min(v)[1] for k, v in want.items()}
+    best = spatial.best_by_named_ray(m)
+    assert {(r["id"], r["angle"]): r["event_id"] for r in best.collect()} == want
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+    named = spatial.best_by_named_ray(m.withColumn("event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")))).schema["event_id"]
+    assert named.dataType.typeName() == "string" and best.schema["event_id"].dataType.typeName() == "long"
