@@ -170,3 +170,18 @@ def test_best_of_rays_needs_no_sort(spark):
     assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
     named = spatial.best_by_named_ray(m.withColumn("event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")))).schema["event_id"]
     assert named.dataType.typeName() == "string" and best.schema["event_id"].dataType.typeName() == "long"
+
+
+def test_views_are_tested_once_a_place(spark, sf, tmp_path):
+    from parcelflow.plans import catalog
+
+    one, pairs, _ = joined(catalog.jn7_clear_views(spark, sf))
+    many, of_many, _ = joined(catalog.jn7_clear_views(spark, copies(spark, sf, tmp_path, 6)))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and one
+    assert of_many == pairs
+
+
+def test_box_joins_broadcast_a_short_list_only(spark, sf):
+    from parcelflow.plans import catalog
+
+    assert [joined(catalog.QUERIES[n](spark, sf))[2] for n in ("jn4_neighbours", "set4_box_overlap_join", "jn3_extent_join")] == [False, False, True]
