@@ -185,3 +185,14 @@ def test_box_joins_broadcast_a_short_list_only(spark, sf):
     from parcelflow.plans import catalog
 
     assert [joined(catalog.QUERIES[n](spark, sf))[2] for n in ("jn4_neighbours", "set4_box_overlap_join", "jn3_extent_join")] == [False, False, True]
+
+
+def test_flagship_takes_one_camera_of_a_place(spark, sf, tmp_path):
+    from parcelflow.plans import catalog
+
+    one, pairs, _ = joined(catalog.udf12_win2_win3_localise(spark, sf))
+    many, of_many, _ = joined(catalog.udf12_win2_win3_localise(spark, copies(spark, sf, tmp_path, 4)))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and one
+    assert of_many == pairs
+    plan = catalog.udf12_win2_win3_localise(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and plan.count("Join Inner") == 1  # the lines with the boxes, and no rays of all assets
