@@ -196,3 +196,26 @@ def test_flagship_takes_one_camera_of_a_place(spark, sf, tmp_path):
     assert of_many == pairs
     plan = catalog.udf12_win2_win3_localise(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan and plan.count("Join Inner") == 1  # the lines with the boxes, and no rays of all assets
+
+
+def test_hundred_nearest_of_hot_places(spark, monkeypatch):
+    from parcelflow.operators import spatial
+
+    monkeypatch.setattr(spatial, "HOT", 500)
+    r = random.Random(5)
+    at = [(7.0, 7.0)] * 6000 + [(r.uniform(-300, 300), r.uniform(-300, 300)) for _ in range(1500)] + [(r.gauss(50, 3), r.gauss(50, 3)) for _ in range(1500)] + [(float("nan"), 7.0), (7.0, float("inf")), (None, 7.0)]
+    ids = r.sample(range(-(10**6), 10**6), len(at))
+    points = spark.createDataFrame([(i, *a) for i, a in zip(ids, at)], "event_id bigint, x double, y double")
+    spots = [(7.0, 7.0), (8.0, 7.0), (50.0, 50.0), (70.0, 50.0), (-250.0, -250.0), (900.0, 0.0), (330.0, 0.0), (float("nan"), 7.0), (None, 7.0), *((r.uniform(-300, 300), r.uniform(-300, 300)) for _ in range(20))]
+    targets = spark.createDataFrame([*((f"t{k}", *s) for k, s in enumerate(spots)), ("twice", 7.0, 8.0), ("twice", -90.0, 40.0), (None, 20.0, 20.0)], "id string, x double, y double")
+    got, most, _ = joined(spatial.nearest(points, targets, 150.0, 100, "event_id", "id"))
+    want = []
+    real = [(i, x, y) for i, (x, y) in zip(ids, at) if x is not None and x == x and y < 1e9]
+    spots = {}
+    for t in targets.collect():
+        spots.setdefault(t["id"], []).append((t["x"], t["y"]))
+    for k, places in spots.items():
+        d = sorted((d2, i) for x, y in places if x is not None for i, px, py in real if (d2 := (px - x) ** 2 + (py - y) ** 2) <= 150.0**2)
+        want += [(k, i, n + 1) for n, (_, i) in enumerate(d[:100])]
+    assert sorted(map(str, want)) == sorted(str((r["id"], r["event_id"], r["rank"])) for r in got) and len(want) > 2000
+    assert most < 40000  # of all pairs within the radius it would be over 150000
