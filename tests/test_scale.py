@@ -219,3 +219,11 @@ def test_hundred_nearest_of_hot_places(spark, monkeypatch):
         want += [(k, i, n + 1) for n, (_, i) in enumerate(d[:100])]
     assert sorted(map(str, want)) == sorted(str((r["id"], r["event_id"], r["rank"])) for r in got) and len(want) > 2000
     assert most < 40000  # of all pairs within the radius it would be over 150000
+
+
+def test_nearest_cameras_broadcast_no_side(spark):
+    from parcelflow.operators import spatial
+
+    p, t = dense(spark)
+    got, most, broadcast = joined(spatial.nearest(p, t, 300, 5, "event_id", "id"))
+    assert len(got) == 100 and most < 20 * 300 and not broadcast
